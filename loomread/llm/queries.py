@@ -52,6 +52,12 @@ SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(siz
 FROM k JOIN b ON k.source IS NOT DISTINCT FROM b.source
 """
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomread.llm.simhash import cluster
+
+    return cluster(table(spark, sf_dir, "documents")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 OP10_SQL = """
 WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents),
 g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
@@ -62,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op6_packing": op6_packing,
     "op7_mixing": op7_mixing,
+    "op9_simhash": op9_simhash,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
