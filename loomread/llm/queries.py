@@ -23,6 +23,18 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomread.llm.html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomread.llm.lm_score import scores
+
+    return scores(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomread.llm.packing import pack
 
@@ -66,6 +78,8 @@ SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, d.text_s
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op3_html_extract": op3_html_extract,
+    "op5_lm_score": op5_lm_score,
     "op6_packing": op6_packing,
     "op7_mixing": op7_mixing,
     "op9_simhash": op9_simhash,

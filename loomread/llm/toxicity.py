@@ -215,7 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, model_unit
             hist: Counter = Counter()
             for x in out:
                 hist.update(x[3])
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int64()), pa.array([sorted(x[2])[-64:] for x in out], pa.list_(pa.float64()))], ["toxic", "n", "found"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int64()), pa.array([sorted(x[2])[-16:] for x in out], pa.list_(pa.float64()))], ["toxic", "n", "found"])
             yield pa.RecordBatch.from_arrays([pa.array([-1] * len(hist), pa.int32()), pa.array(list(hist.values()), pa.int64()), pa.array([[v] for v in hist], pa.list_(pa.float64()))], ["toxic", "n", "found"])
 
     measured = rows.where("aside" if trial is not final else "true").mapInArrow(measure, "toxic int, n long, found array<double>")
