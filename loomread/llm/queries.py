@@ -23,6 +23,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_webp_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomread.llm.webp import store_texts
+
+    return store_texts(table(spark, sf_dir, "documents"))
+
+
 def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomread.llm.html_extract import extract
 
@@ -64,6 +70,12 @@ SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(siz
 FROM k JOIN b ON k.source IS NOT DISTINCT FROM b.source
 """
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomread.llm.token_counts import counts
+
+    return counts(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomread.llm.simhash import cluster
 
@@ -78,10 +90,12 @@ SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, d.text_s
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_webp_media": op2_webp_media,
     "op3_html_extract": op3_html_extract,
     "op5_lm_score": op5_lm_score,
     "op6_packing": op6_packing,
     "op7_mixing": op7_mixing,
+    "op8_token_counts": op8_token_counts,
     "op9_simhash": op9_simhash,
     "op10_exact_dedup": op10_exact_dedup,
 }
