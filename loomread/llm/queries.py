@@ -35,6 +35,12 @@ def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomread.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.lower(F.hex("kept")).alias("kept_sha256"))
+
+
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomread.llm.lm_score import scores
 
@@ -92,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_webp_media": op2_webp_media,
     "op3_html_extract": op3_html_extract,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_lm_score": op5_lm_score,
     "op6_packing": op6_packing,
     "op7_mixing": op7_mixing,
