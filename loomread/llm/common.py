@@ -11,9 +11,13 @@ import zipfile
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Most bits of a broadcast filter on row keys (16 MB).
+FILTER_BITS = 1 << 27
 #: Rows handed to a Python worker in one Arrow batch. Texts may be long, so a batch stays small.
 ARROW_ROWS = 512
 _LOCK = threading.Lock()
@@ -93,6 +97,46 @@ def size_checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def _row_filter(marked: DataFrame, rows: int) -> tuple[np.ndarray, int]:
+    """A bit array with a bit for each row key of ``marked``: 16 bits for each of ``rows``, ``FILTER_BITS`` at most."""
+    bits = 1 << min(FILTER_BITS.bit_length() - 1, max(16, (16 * rows).bit_length()))
+    place = f"pmod(xxhash64(__lr_f, __lr_i), {bits})"
+    words = marked.select(F.expr(f"{place} div 64").alias("w"), F.expr(f"shiftleft(1L, cast({place} % 64 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    out = np.zeros(bits // 64, np.int64)
+    for r in words.toLocalIterator():
+        out[r["w"]] = r["b"]
+    return out.view(np.uint8), bits
+
+
+def _passed(keyed: DataFrame, marked: DataFrame, rows: int, marked_ones: bool) -> DataFrame:
+    held, bits = _row_filter(marked, rows)
+    shared, names = keyed.sparkSession.sparkContext.broadcast(held), keyed.columns
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for b in it:
+            place = b.column("__lr_p").to_numpy(zero_copy_only=False)
+            hit = (own[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+            yield b.filter(pa.array(hit == marked_ones)).select(names)
+
+    return keyed.withColumn("__lr_p", F.expr(f"pmod(xxhash64(__lr_f, __lr_i), {bits})")).mapInArrow(run, keyed.schema)
+
+
+def only_rows(keyed: DataFrame, marked: DataFrame, rows: int) -> DataFrame:
+    """The rows of ``keyed`` whose row key is in ``marked``, and few others: a filter of bounded size, no shuffle.
+
+    ``rows``: how many rows there are, for the filter's size.
+    """
+    return _passed(keyed, marked, rows, True)
+
+
+def without_rows(keyed: DataFrame, marked: DataFrame, rows: int) -> DataFrame:
+    """The rows of ``keyed`` whose row key isn't in ``marked``. Only rows that a filter of bounded size can't tell are
+    shuffled; the others stay where they are."""
+    unsure = only_rows(keyed, marked, rows).join(marked.select("__lr_f", "__lr_i"), ["__lr_f", "__lr_i"], "left_anti")
+    return _passed(keyed, marked, rows, False).unionByName(unsure.select(keyed.columns))
+
+
 def text_of(name: str = "text") -> Column:
     """The text column, null as the empty string."""
     return F.coalesce(F.col(name), F.lit(""))

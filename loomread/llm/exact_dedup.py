@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomread.llm.common import shared_path, with_row_key, written
+from loomread.llm.common import shared_path, with_row_key, without_rows, written
 
 #: Digests with at least 1 / HOT_SHARE of all rows are joined by broadcast; there can be HOT_SHARE of them at most.
 HOT_SHARE = 10_000
@@ -95,5 +95,5 @@ def decide_keyed(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame
 def drop_copies(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """``docs`` without the rows that repeat another's text."""
     keyed = with_row_key(docs)
-    dropped = decide_keyed(keyed, index).where(~F.col("kept")).select("__lr_f", "__lr_i")
-    return keyed.join(dropped, ["__lr_f", "__lr_i"], "left_anti").select(*docs.columns)
+    decided = written(decide_keyed(keyed, index), "digest-decisions")
+    return without_rows(keyed, decided.where(~F.col("kept")), decided.count()).select(*docs.columns)

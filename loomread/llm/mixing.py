@@ -69,32 +69,66 @@ def source_targets(sized: DataFrame, share: float = SHARE, weights: tuple[int, .
     return out.select("source", "source_size", F.least("cap", F.col("weight") * F.coalesce("found", "ratio")).alias("target"))
 
 
-def mix(docs: DataFrame, share: float = SHARE, weights: tuple[int, ...] = WEIGHTS, seed: str = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` of each row of ``docs``, and the columns ``carry`` of it."""
-    size = words(text_of())
-    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), F.length(text_of()).alias("chars"), *[c for c in carry if c not in ("doc_id", "source")])
-    key = -F.log(uniform(F.col("doc_id"), seed)) / quality_weight(F.col("size"), F.col("chars"))
-    sized = written(sized.withColumn("key", key).drop("chars"), "mix-sizes")
-    rows = sized.count()
-    bins = min(1 << 20, max(16, int(rows**0.5)))
-    binned = sized.withColumn("bin", F.floor(F.col("key") / (F.col("key") + 1) * bins))
-    targets = written(source_targets(sized, share, weights).coalesce(1), "mix-targets")
-    targets = targets.withColumn("epochs", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(MOST_EPOCHS))).otherwise(0))
-    targets = targets.withColumn("budget", F.when(F.col("epochs") >= MOST_EPOCHS, 0).otherwise(F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long")))
-    targets = size_checked_broadcast(targets.withColumnRenamed("source", "of"), BROADCAST_SOURCES)
+def _sized(docs: DataFrame, seed: str, *more: Column) -> DataFrame:
+    """``doc_id, source, size, key`` of each row, and ``more``."""
+    size, chars = words(text_of()), F.length(text_of())
+    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), chars.alias("chars"), *more)
+    return rows.withColumn("key", -F.log(uniform(F.col("doc_id"), seed)) / quality_weight(F.col("size"), F.col("chars"))).drop("chars")
 
-    before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = binned.groupBy("source", "bin").agg(F.sum("size").alias("words")).withColumn("before", before)
-    at = sums.join(targets, F.col("source").eqNullSafe(F.col("of"))).where((F.col("before") < F.col("budget")) & (F.col("before") + F.col("words") >= F.col("budget")))
-    ends = at.select("of", F.col("bin").alias("end_bin"), F.col("before").alias("end_before"))
-    ends = written(targets.join(ends.withColumnRenamed("of", "of2"), F.col("of").eqNullSafe(F.col("of2")), "left").drop("of2").coalesce(1), "mix-ends")
-    # a budget of 0 has no end bin: nothing is taken beyond the epochs
-    found = binned.join(size_checked_broadcast(ends, BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("of")))
-    end_bin = F.coalesce("end_bin", F.lit(-1))
-    out = ["doc_id", "source", "size", "source_size", "target", "key", *[c for c in carry if c not in ("doc_id", "source")]]
-    whole = found.where(F.col("bin") != end_bin).select(*out, (F.col("epochs") * F.col("size") + F.when(F.col("bin") < end_bin, F.col("size")).otherwise(0)).alias("taken"))
+
+def _taken(rows: DataFrame, ends: DataFrame, bins: int) -> DataFrame:
+    """``rows`` (``doc_id, source, size, key`` and more) with ``source_size, target, taken``.
+
+    Only rows of the bins in which the budgets end are shuffled.
+    """
+    found = rows.withColumn("bin", _bin(bins)).join(size_checked_broadcast(ends, BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("of")))
+    end_bin = F.coalesce("end_bin", F.lit(-1))  # none where the budget is 0: nothing is taken beyond the epochs
+    epochs = F.col("epochs") * F.col("size")
+    whole = found.where(F.col("bin") != end_bin).withColumn("taken", epochs + F.when(F.col("bin") < end_bin, F.col("size")).otherwise(0))
     order = Window.partitionBy("source").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     first = F.col("end_before") + F.coalesce(F.sum("size").over(order), F.lit(0))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("budget") - first))
-    ended = found.where(F.col("bin") == end_bin).select(*out, (F.col("epochs") * F.col("size") + part).alias("taken"))
-    return whole.unionByName(ended).select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), *[c for c in out[1:2] + out[6:] if c in carry])
+    ended = found.where(F.col("bin") == end_bin).withColumn("taken", epochs + part)
+    return whole.unionByName(ended).withColumn("taken", F.col("taken").cast("long"))
+
+
+def _bin(bins: int) -> Column:
+    return F.floor(F.col("key") / (F.col("key") + 1) * bins)
+
+
+def _plan(sized: DataFrame, share: float, weights: tuple[int, ...]) -> tuple[DataFrame, int]:
+    """By source: target, epochs, budget of the fractional selection, the bin in which it ends and the words before it."""
+    bins = min(1 << 20, max(16, int(sized.count() ** 0.5)))
+    targets = written(source_targets(sized, share, weights).coalesce(1), "mix-targets")
+    epochs = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(MOST_EPOCHS))).otherwise(0)
+    budget = F.when(F.col("epochs") >= MOST_EPOCHS, 0).otherwise(F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
+    targets = targets.withColumn("epochs", epochs).withColumn("budget", budget).withColumnRenamed("source", "of")
+    before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sized.withColumn("bin", _bin(bins)).groupBy("source", "bin").agg(F.sum("size").alias("words")).withColumn("before", before)
+    at = sums.join(size_checked_broadcast(targets, BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("of")))
+    at = at.where((F.col("before") < F.col("budget")) & (F.col("before") + F.col("words") >= F.col("budget")))
+    at = at.select(F.col("of").alias("of2"), F.col("bin").alias("end_bin"), F.col("before").alias("end_before"))
+    return written(targets.join(at, F.col("of").eqNullSafe(F.col("of2")), "left").drop("of2").coalesce(1), "mix-ends"), bins
+
+
+def mix(docs: DataFrame, share: float = SHARE, weights: tuple[int, ...] = WEIGHTS, seed: str = SEED) -> DataFrame:
+    """``doc_id, size, source_size, target, taken`` of each row of ``docs``."""
+    sized = written(_sized(docs, seed), "mix-sizes")
+    return _taken(sized, *_plan(sized, share, weights)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mixed(docs: DataFrame, share: float = SHARE, weights: tuple[int, ...] = WEIGHTS, seed: str = SEED) -> DataFrame:
+    """The mix itself: a row for each whole time that a row of ``docs`` is taken, and one with the first words of the row
+    at which a source's budget ends. ``n_chars``, if there is such a column, is that of the row's text."""
+    plan = _plan(written(_sized(docs, seed), "mix-sizes"), share, weights)
+    rows = _taken(_sized(docs, seed, F.struct(*docs.columns).alias("row")), *plan)
+    text = text_of("row.text")
+    starts_blank = F.when(text.rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
+    parts = F.split(text, r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
+    rest = (F.col("taken") % F.col("size")).cast("int")
+    first = F.regexp_replace(F.array_join(F.slice(parts, F.lit(1), rest + starts_blank), ""), r"[\x20\x09-\x0D]+$", "")
+    whole = F.array_repeat(text, F.floor(F.col("taken") / F.col("size")).cast("int"))
+    texts = F.when(rest > 0, F.concat(whole, F.array(first))).otherwise(whole)
+    out = rows.where("taken > 0").select("row", F.explode(texts).alias("taken_text"))
+    own = {"text": F.col("taken_text"), "n_chars": F.length("taken_text").cast("long")}
+    return out.select(*[(own.get(c, F.col(f"row.{c}"))).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomread.llm.common import size_checked_broadcast, with_row_key, written
+from loomread.llm.common import size_checked_broadcast, with_row_key, without_rows, written
 from loomread.llm.components import components
 
 BITS_APART = 4
@@ -202,4 +202,4 @@ def drop_near_copies(docs: DataFrame, apart: int = BITS_APART, words: int = WORD
     rows = written(cluster_keyed(keyed, apart, words), "components")
     stays = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__lr_f", "__lr_i")).alias("k"))
     dropped = rows.join(stays, "root").where(~((F.col("k.__lr_f") == F.col("__lr_f")) & (F.col("k.__lr_i") == F.col("__lr_i"))))
-    return keyed.join(dropped.select("__lr_f", "__lr_i"), ["__lr_f", "__lr_i"], "left_anti").select(*docs.columns)
+    return without_rows(keyed, dropped, rows.count()).select(*docs.columns)

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomread.llm.common import with_row_key, written
+from loomread.llm.common import only_rows, with_row_key, written
 
 MATCH = 400
 #: A perfect difference set: each remainder but 0 is the difference of one pair.
@@ -36,8 +36,6 @@ CHECK_BITS = 16
 #: Bytes of text in a batch, about; fingerprints in a bucket.
 BATCH_BYTES = 8_000_000
 BUCKET_SIZE = 3_000_000
-#: Most bits of the filter on rows that may hold repeats (it is broadcast: 16 MB).
-FILTER_BITS = 1 << 27
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -305,20 +303,8 @@ def _removed(texts: DataFrame, buckets: int) -> DataFrame:
 # ---- all together
 
 
-def _filter(marked: DataFrame, rows: int) -> tuple[np.ndarray, int]:
-    """A bit array with a bit for each row key of ``marked``: 16 bits a row, ``FILTER_BITS`` at most."""
-    bits = 1 << min(FILTER_BITS.bit_length() - 1, max(16, (16 * rows).bit_length()))
-    place = F.pmod(F.xxhash64("__lr_f", "__lr_i"), F.lit(bits))
-    words = marked.select((place / 64).cast("long").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(__lr_f, __lr_i), {bits}) % 64 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    out = np.zeros(bits // 64, np.int64)
-    for r in words.toLocalIterator():
-        out[r["w"]] = r["b"]
-    return np.unpackbits(out.view(np.uint8), bitorder="little"), bits
-
-
 def remove_repeats_keyed(keyed: DataFrame) -> DataFrame:
     """As :func:`remove_repeats`, of rows that have a row key, with it."""
-    spark = keyed.sparkSession
     rows = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "__lr_f", "__lr_i", F.col("text").cast("string").alias("text"))
 
     def digest(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,16 +321,7 @@ def remove_repeats_keyed(keyed: DataFrame) -> DataFrame:
     text_rows = rows.select("__lr_f", "__lr_i", "text")
     ranges = _ranked(text_rows, int(buckets), window)
     ranges = written(ranges.join(base.where("stands").select("__lr_f", "__lr_i"), ["__lr_f", "__lr_i"], "left_semi"), "repeat-ranges")
-    bits, n_bits = _filter(ranges, n)
-    shared = spark.sparkContext.broadcast(np.packbits(bits))
-
-    def may_repeat(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        for b in it:
-            place = b.column("place").to_numpy(zero_copy_only=False)
-            yield b.filter(pa.array((own[place >> 3] >> (7 - (place & 7)) & 1).astype(bool))).select(["__lr_f", "__lr_i", "text"])
-
-    some = text_rows.withColumn("place", F.pmod(F.xxhash64("__lr_f", "__lr_i"), F.lit(n_bits))).mapInArrow(may_repeat, "__lr_f long, __lr_i long, text string")
+    some = only_rows(text_rows, ranges, n)
     texts = written(some.join(ranges, ["__lr_f", "__lr_i"]), "repeat-texts")
     count = ranges.select(F.sum(F.expr("aggregate(zip_with(starts, ends, (a, b) -> b - a), 0L, (x, y) -> x + y)"))).first()[0] or 0
     cut = _removed(texts, int(max(8, count // BUCKET_SIZE)))

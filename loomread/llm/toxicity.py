@@ -274,3 +274,16 @@ def score(docs: DataFrame, model: Model, with_segments: bool = False) -> DataFra
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, n_segments int" + (f", {SEGMENTS}" if with_segments else ""))
+
+
+def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` without the rows that are predicted to be toxic."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.odds, model.lam, model.ln_k, model.curve, model.rate))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(*shared.value)
+        for b in it:
+            clean = [own.score(*own.statistics(t)[:2]) < THRESHOLD for t in b.column("text").to_pylist()]
+            yield b.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
