@@ -1,10 +1,431 @@
-"""All queries over the driver tables, and the SQL that each is held against."""
+"""All queries over the driver's tables, and the SQL that each is held against."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from loomread.functions import alignments as A
+from loomread.functions import barcodes as B
+from loomread.functions import reads as R
+from loomread.operators import concatenation, counting, detect, exchange, molecules, pairing, recoding, sorting
+from loomread.plans.ordinals import with_ordinal
+from loomread.sources import adapters
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+CUTOFF = 86_400
+
+
+def _query(name: str, sql: str) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+# ---- reads: shared SQL
+
+_BASES = "'0123456789abcdef', 'ACGTACGTACGTACGT'"
+READS_SQL = f"""
+WITH li AS (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate) - 1 AS rec_idx FROM lineitem),
+lb AS (SELECT *, concat(l_partkey % 200, '_', l_suppkey % 20, '_', l_linenumber) AS own, concat(l_suppkey % 20 + 1, '_', l_partkey % 200 + 1, '_9') AS other,
+       translate(substr(md5(rec_idx::VARCHAR), 1, 20), {_BASES}) AS seq FROM li),
+r0 AS (SELECT 0 AS file_idx, rec_idx, own AS barcode, seq FROM lb UNION ALL
+       SELECT 1, rec_idx, CASE WHEN l_returnflag = 'R' AND l_linenumber % 2 = 0 THEN other ELSE own END, seq FROM lb WHERE l_linenumber <> 7),
+reads AS (SELECT *, NOT regexp_matches(barcode, '^0_|_0_|_0$') AS valid, 'r' || rec_idx AS id, (file_idx + 1) || ':N:0:CAGATC' AS designation, repeat('F', 20) AS qual FROM r0)
+"""
+_RECORD = "'@' || id || '#' || barcode || ' ' || designation || chr(9) || chr(10) || seq || chr(10) || '+' || chr(10) || qual AS record"
+
+
+def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.parse(adapters.lineitem_reads(spark, sf_dir), B.STLFR)
+
+
+def _records(rows: DataFrame) -> DataFrame:
+    return R.render(rows, B.STLFR).select("file_idx", "rec_idx", R.fastq_record().alias("record"))
+
+
+def _code_sql(k: str, style: str) -> str:
+    if style == B.HAPLOTAGGING:
+        part = lambda p: f"lpad(({k} // {96**p} % 96 + 1)::VARCHAR, 2, '0')"
+        return f"'A' || {part(3)} || 'C' || {part(2)} || 'B' || {part(1)} || 'D' || {part(0)}"
+    if style == B.STLFR:
+        return " || '_' || ".join(f"({k} // {1537**p} % 1537 + 1)::VARCHAR" for p in (2, 1, 0))
+    n = 18 if style == B.TELLSEQ else 16
+    return " || ".join(f"substr('ATCG', ({k} // {4**p} % 4 + 1)::INT, 1)" for p in range(n - 1, -1, -1))
+
+
+def _map_sql(rows: str, style: str, pos: str) -> str:
+    """CTEs ``fst`` and ``mp``: barcode, new_barcode, valid, pos."""
+    return f"""
+, fst AS (SELECT barcode, min({pos}) AS pos, arg_min(valid, {pos}) AS valid FROM {rows} GROUP BY barcode),
+num AS (SELECT barcode, row_number() OVER (ORDER BY pos) - 1 AS k FROM fst WHERE valid),
+mp AS (SELECT fst.barcode, CASE WHEN valid THEN {_code_sql('k', style)} ELSE '{B.INVALID[style]}' END AS new_barcode, valid, pos FROM fst LEFT JOIN num USING (barcode))
+"""
+
+
+# ---- reads: counts, barcodes, filters
+
+
+@_query("fq_count", READS_SQL + "SELECT barcode, CASE WHEN count(*) FILTER (file_idx = 0) > 0 THEN count(*) FILTER (file_idx = 0) ELSE 1 END::BIGINT AS count FROM reads WHERE valid GROUP BY barcode")
+def fq_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counting.count_reads(_reads(spark, sf_dir)).select("barcode", "count")
+
+
+@_query("fq_count_invalid", READS_SQL + ", a AS (SELECT barcode, count(*)::BIGINT AS count FROM reads WHERE file_idx = 0 GROUP BY barcode) SELECT * FROM a UNION ALL SELECT DISTINCT barcode, 1::BIGINT FROM reads WHERE file_idx = 1 AND barcode NOT IN (SELECT barcode FROM a)")
+def fq_count_invalid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counting.count_reads(_reads(spark, sf_dir), invalid=True).select("barcode", "count")
+
+
+@_query("fq_extract", READS_SQL + "SELECT DISTINCT barcode FROM reads")
+def fq_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reads(spark, sf_dir).select("barcode").distinct()
+
+
+@_query("fq_extract_split", READS_SQL + "SELECT DISTINCT barcode, valid FROM reads")
+def fq_extract_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counting.read_barcodes(_reads(spark, sf_dir))
+
+
+@_query("fq_filter_invalid", READS_SQL + f"SELECT file_idx, rec_idx, {_RECORD} FROM reads WHERE valid")
+def fq_filter_invalid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _records(counting.split_invalid_reads(_reads(spark, sf_dir)).kept)
+
+
+@_query("fq_filter_invalid_rejected", READS_SQL + f"SELECT file_idx, rec_idx, {_RECORD} FROM reads WHERE NOT valid")
+def fq_filter_invalid_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _records(counting.split_invalid_reads(_reads(spark, sf_dir)).rejected)
+
+
+_PAIRS_SQL = READS_SQL + """, a AS (SELECT rec_idx, barcode FROM reads WHERE file_idx = 0), b AS (SELECT rec_idx, barcode FROM reads WHERE file_idx = 1),
+z AS (SELECT a.barcode AS b1, b.barcode AS b2 FROM a FULL JOIN b USING (rec_idx)),
+cnt AS (SELECT barcode, count(*)::BIGINT AS count FROM (SELECT b1 AS barcode FROM z WHERE b1 IS NOT NULL UNION ALL SELECT b2 FROM z WHERE b2 IS NOT NULL AND b2 IS DISTINCT FROM b1) GROUP BY barcode)
+"""
+
+
+@_query("fq_pair_counts", _PAIRS_SQL + "SELECT * FROM cnt")
+def fq_pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counting.pair_counts(_reads(spark, sf_dir))
+
+
+@_query("fq_filter_singletons", _PAIRS_SQL + f"SELECT file_idx, rec_idx, {_RECORD} FROM reads JOIN cnt USING (barcode) WHERE valid AND count > 1")
+def fq_filter_singletons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _records(counting.split_singleton_reads(_reads(spark, sf_dir)).kept)
+
+
+@_query("fq_filter_singletons_out", _PAIRS_SQL + f"SELECT file_idx, rec_idx, {_RECORD} FROM reads JOIN cnt USING (barcode) WHERE valid AND count <= 1")
+def fq_filter_singletons_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _records(counting.split_singleton_reads(_reads(spark, sf_dir)).rejected)
+
+
+@_query("fq_filter_singletons_single", READS_SQL + f", c AS (SELECT barcode FROM reads WHERE file_idx = 0 AND valid GROUP BY barcode HAVING count(*) > 1) SELECT file_idx, rec_idx, {_RECORD} FROM reads SEMI JOIN c USING (barcode) WHERE file_idx = 0 AND valid")
+def fq_filter_singletons_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _records(counting.split_singleton_reads(_reads(spark, sf_dir).where("file_idx = 0"), paired=False).kept)
+
+
+def _sample_sql(pool: str, n: str) -> str:
+    return READS_SQL + f""", pool AS ({pool}), ranked AS (SELECT barcode, row_number() OVER (ORDER BY md5('7:' || barcode), barcode) AS n FROM pool),
+chosen AS (SELECT barcode FROM ranked WHERE n <= {n}) SELECT file_idx, rec_idx, barcode FROM reads SEMI JOIN chosen USING (barcode)"""
+
+
+def _sampled(spark: SparkSession, sf_dir: str, amount: float, invalid: float) -> DataFrame:
+    rows = _reads(spark, sf_dir)
+    chosen = counting.sample_barcodes(counting.read_barcodes(rows), amount, invalid, seed=7)
+    return counting.keep_barcodes(rows, chosen).select("file_idx", "rec_idx", "barcode")
+
+
+@_query("fq_sample_n", _sample_sql("SELECT DISTINCT barcode FROM reads", "1000"))
+def fq_sample_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sampled(spark, sf_dir, 1000, 1)
+
+
+@_query("fq_sample_fraction", _sample_sql("SELECT DISTINCT barcode FROM reads WHERE valid", "(SELECT count(*) // 4 FROM pool)"))
+def fq_sample_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sampled(spark, sf_dir, 0.25, 0)
+
+
+_PARTIAL = """SELECT DISTINCT barcode FROM reads WHERE valid UNION ALL SELECT barcode FROM (
+SELECT barcode, row_number() OVER (ORDER BY md5('7:' || barcode), barcode) AS n, round_even(count(*) OVER () * 0.3::DOUBLE, 0) AS most FROM (SELECT DISTINCT barcode FROM reads WHERE NOT valid)) WHERE n <= most"""
+
+
+@_query("fq_sample_partial_invalid", _sample_sql(_PARTIAL, "(SELECT count(*) // 2 FROM pool)"))
+def fq_sample_partial_invalid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sampled(spark, sf_dir, 0.5, 0.3)
+
+
+# ---- reads: recoding
+
+_RENDERED = {
+    B.TELLSEQ: "id || ':' || new_barcode || ' ' || designation AS id, '' AS rest, seq, qual",
+    B.STLFR: "id || '#' || new_barcode || ' ' || designation AS id, '' AS rest, seq, qual",
+    B.HAPLOTAGGING: "id || '/' || (file_idx + 1) AS id, 'VX:i:' || reads.valid::INT || chr(9) || 'BX:Z:' || new_barcode AS rest, seq, qual",
+    B.TENX: "id || ' ' || designation AS id, '' AS rest, CASE WHEN file_idx = 0 THEN new_barcode ELSE '' END || seq AS seq, CASE WHEN file_idx = 0 THEN repeat('F', 16) ELSE '' END || qual AS qual",
+}
+
+
+def _add_convert(target: str) -> None:
+    sql = READS_SQL + _map_sql("reads", target, "rec_idx * 2 + file_idx") + f"SELECT file_idx, rec_idx, {_RENDERED[target]} FROM reads JOIN mp USING (barcode)"
+
+    @_query(f"fq_convert_to_{target}", sql)
+    def convert(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return recoding.convert(_reads(spark, sf_dir), B.STLFR, target).rows.select("file_idx", "rec_idx", "id", "rest", "seq", "qual")
+
+
+for _target in (B.HAPLOTAGGING, B.TELLSEQ, B.TENX):
+    _add_convert(_target)
+
+
+@_query("fq_barcode_map", READS_SQL + _map_sql("reads", B.HAPLOTAGGING, "rec_idx * 2 + file_idx") + "SELECT barcode, new_barcode, valid FROM mp")
+def fq_barcode_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recoding.convert(_reads(spark, sf_dir), B.STLFR, B.HAPLOTAGGING).mapping.select("barcode", "new_barcode", "valid")
+
+
+_TENX_SQL = READS_SQL.replace("reads AS (", "base AS (") + f""", tenx AS (SELECT file_idx, rec_idx, 't' || rec_idx AS id, designation, seq, qual,
+translate(substr(md5('bc' || (rec_idx % 500)), 1, 16), {_BASES}) AS barcode, rec_idx % 500 < 400 AS listed FROM base),
+wl AS (SELECT DISTINCT translate(substr(md5('bc' || i), 1, 16), {_BASES}) AS barcode FROM range(400) t(i)),
+reads AS (SELECT tenx.*, wl.barcode IS NOT NULL AS valid FROM tenx LEFT JOIN wl USING (barcode))
+"""
+
+
+@_query("fq_convert_from_10x", _TENX_SQL + _map_sql("reads", B.STLFR, "rec_idx * 2 + file_idx") + f"SELECT file_idx, rec_idx, {_RENDERED[B.STLFR]} FROM reads JOIN mp USING (barcode)")
+def fq_convert_from_10x(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = recoding.pair_10x(R.parse(adapters.tenx_reads(spark, sf_dir), B.TENX, 16), adapters.whitelist(spark), 16)
+    return recoding.convert(parsed, B.TENX, B.STLFR).rows.select("file_idx", "rec_idx", "id", "rest", "seq", "qual")
+
+
+@_query("fq_standardize", READS_SQL + "SELECT file_idx, rec_idx, id || '/' || (file_idx + 1) AS id, 'VX:i:' || valid::INT || chr(9) || 'BX:Z:' || barcode AS rest FROM reads")
+def fq_standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recoding.standardize_reads(_reads(spark, sf_dir)).rows.select("file_idx", "rec_idx", "id", "rest")
+
+
+@_query("fq_standardize_style", READS_SQL + _map_sql("reads", B.HAPLOTAGGING, "file_idx * 1000000000000 + rec_idx") + "SELECT file_idx, rec_idx, id || '/' || (file_idx + 1) AS id, 'VX:i:' || reads.valid::INT || chr(9) || 'BX:Z:' || new_barcode AS rest FROM reads JOIN mp USING (barcode)")
+def fq_standardize_style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recoding.standardize_reads(_reads(spark, sf_dir), B.HAPLOTAGGING).rows.select("file_idx", "rec_idx", "id", "rest")
+
+
+# ---- reads: detection, order, pairs, exchange
+
+
+@_query("fq_detect", READS_SQL + "SELECT coalesce(arg_min(CASE WHEN regexp_matches(id || '#' || barcode, '#[0-9]+_[0-9]+_[0-9]+$') THEN 'stlfr' END, rec_idx), 'none') AS chemistry FROM (SELECT * FROM reads WHERE file_idx = 0 ORDER BY rec_idx LIMIT 100)")
+def fq_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.reads_chemistry(adapters.lineitem_reads(spark, sf_dir).where("file_idx = 0"))
+
+
+@_query("fq_sort", READS_SQL + "SELECT file_idx, rec_idx, row_number() OVER (ORDER BY CASE WHEN valid THEN barcode END NULLS FIRST, id, file_idx, rec_idx) - 1 AS place FROM reads")
+def fq_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sorted reads by BX; invalid ones have no tag here. The place in the order is a column."""
+    rows = _reads(spark, sf_dir)
+    tagged = rows.select("file_idx", "rec_idx", F.col("id").alias("name"), F.when(F.col("valid"), F.concat(F.lit("BX:Z:"), F.col("barcode"))).alias("comment"))
+    return with_ordinal(tagged, sorting.reads_order("BX"), "place").select("file_idx", "rec_idx", "place")
+
+
+_SORTED_SQL = READS_SQL + """, ord AS (SELECT rec_idx AS was, barcode AS b1, valid AS v1, id, row_number() OVER (ORDER BY barcode, rec_idx) - 1 AS rec_idx FROM reads WHERE file_idx = 0),
+good AS (SELECT ord.rec_idx, b1, ord.id FROM ord JOIN reads r2 ON r2.rec_idx = ord.was AND r2.file_idx = 1 WHERE v1 AND r2.valid),
+chg AS (SELECT *, CASE WHEN lag(b1) OVER (ORDER BY rec_idx) IS DISTINCT FROM b1 THEN rec_idx END AS c FROM good),
+runs AS (SELECT rec_idx, b1, id, md5('0:' || rec_idx) AS mark, max(c) OVER (ORDER BY rec_idx ROWS UNBOUNDED PRECEDING) AS run FROM chg),
+placed AS (SELECT *, count(*) OVER (PARTITION BY run) AS n, row_number() OVER (PARTITION BY run ORDER BY mark, rec_idx) - 1 AS place FROM runs)
+"""
+
+
+@_query("fq_spoof_hic_counts", _SORTED_SQL + "SELECT b1 AS barcode, sum(CASE WHEN n = 1 THEN 1 ELSE n * least(3, n) END)::BIGINT AS pairs FROM (SELECT DISTINCT run, b1, n FROM placed) GROUP BY b1")
+def fq_spoof_hic_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = pairing.spoof_pairs(R.parse(adapters.sorted_reads(spark, sf_dir), B.STLFR), max_pairs=3, singletons=True)
+    return pairs.groupBy("barcode").agg(F.count("*").alias("pairs"))
+
+
+_NUMBER = "(('0x' || substr(md5('0:{0}:' || l.rec_idx || ':' || k), 1, 12))::BIGINT % 99000 + 1000)"
+
+
+@_query(
+    "fq_spoof_hic_pairs",
+    _SORTED_SQL + f""", l AS (SELECT rec_idx, run, id, b1, k, (place + ('0x' || substr(mark, 1, 12))::BIGINT % n + k) % n AS place FROM placed, LATERAL (SELECT unnest(range(0, least(2, n))) AS k) WHERE n > 1)
+SELECT l.rec_idx, m.rec_idx AS mate_idx, k, l.b1 AS barcode, l.id || ':' || {_NUMBER.format(1)} || ':' || {_NUMBER.format(2)} || ':' || {_NUMBER.format(3)} AS id FROM l JOIN placed m ON m.run = l.run AND m.place = l.place""",
+)
+def fq_spoof_hic_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = pairing.spoof_pairs(R.parse(adapters.sorted_reads(spark, sf_dir), B.STLFR), max_pairs=2)
+    return pairs.select("rec_idx", "mate_idx", "k", "barcode", F.col("id_1").alias("id"))
+
+
+@_query("fq_to_ubam", READS_SQL + "SELECT rec_idx * 2 + file_idx AS rec_idx, id AS qname, CASE WHEN file_idx = 0 THEN 77 ELSE 141 END AS flag, seq, qual, 'VX:i:' || valid::INT || ' BX:Z:' || barcode AS tags FROM reads")
+def fq_to_ubam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = recoding.standardize_reads(_reads(spark, sf_dir)).rows
+    out = exchange.to_unaligned(rows.select("file_idx", "rec_idx", F.col("id").alias("name"), F.col("rest").alias("comment"), "seq", "qual"))
+    return out.select("rec_idx", "qname", "flag", "seq", "qual", F.array_join(F.transform("tags", lambda t: F.concat_ws(":", t["tag"], t["type"], t["value"])), " ").alias("tags"))
+
+
+# ---- alignments
+
+ALNS_SQL = """
+WITH RECURSIVE ev AS (SELECT *, row_number() OVER (ORDER BY event_type, event_id) - 1 AS rec_idx FROM events),
+al AS (SELECT rec_idx, event_id, 'q' || event_id AS qname, event_type AS rname, epoch_us(ts) // 1000000 - 1704067200 AS aln_start, epoch_us(ts) // 1000000 - 1704067200 + 60 + floor(value)::BIGINT AS aln_end,
+  CASE WHEN event_id % 23 <> 0 THEN 'A' || lpad((user_id % 96 + 1)::VARCHAR, 2, '0') || 'C' || lpad((user_id // 96 % 96 + 1)::VARCHAR, 2, '0') || 'B01D' || lpad((user_id % 10)::VARCHAR, 2, '0') END AS bx,
+  ((CASE WHEN event_id % 3 <> 0 THEN 1 + (CASE WHEN event_id % 4 < 2 THEN 64 ELSE 128 END) ELSE 0 END) + (CASE WHEN event_id % 2 = 1 THEN 16 ELSE 0 END) + (CASE WHEN event_id % 37 = 0 THEN 4 ELSE 0 END))::INT AS flag FROM ev),
+alns AS (SELECT *, flag & 1 <> 0 AS is_paired, flag & 4 <> 0 AS is_unmapped, flag & 16 <> 0 AS is_reverse, flag & 64 <> 0 AS is_read1, flag & 128 <> 0 AS is_read2, bx NOT LIKE '%00%' AS valid FROM al)
+"""
+
+
+def _alns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapters.event_alignments(spark, sf_dir)
+
+
+@_query("sam_detect", ALNS_SQL + "SELECT coalesce(arg_min(CASE WHEN regexp_matches(bx, 'A[0-9]{2}C[0-9]{2}B[0-9]{2}D[0-9]{2}') THEN 'haplotagging' END, rec_idx) FILTER (bx IS NOT NULL), 'none') AS chemistry FROM (SELECT * FROM alns ORDER BY rec_idx LIMIT 100)")
+def sam_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.alignments_chemistry(_alns(spark, sf_dir))
+
+
+@_query("sam_is_standard", ALNS_SQL + "SELECT count(bx) > 0 AS standard FROM alns")
+def sam_is_standard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.is_standard(_alns(spark, sf_dir))
+
+
+def _count_sql(where: str) -> str:
+    return ALNS_SQL + f"""SELECT barcode, count FROM (SELECT bx AS barcode, (count(*) FILTER (is_read1) + count(*) FILTER (is_read2 AND NOT is_read1 AND NOT is_paired)
++ coalesce(arg_min(is_read2 AND NOT is_read1 AND is_paired, rec_idx) FILTER (is_read1 OR is_read2), false)::INT)::BIGINT AS count FROM alns WHERE bx IS NOT NULL {where} GROUP BY bx) WHERE count > 0"""
+
+
+@_query("sam_count", _count_sql("AND valid"))
+def sam_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counting.count_alignments(_alns(spark, sf_dir)).select("barcode", "count")
+
+
+@_query("sam_count_invalid", _count_sql(""))
+def sam_count_invalid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counting.count_alignments(_alns(spark, sf_dir), invalid=True).select("barcode", "count")
+
+
+@_query("sam_extract", ALNS_SQL + "SELECT DISTINCT bx AS barcode, valid FROM alns WHERE bx IS NOT NULL")
+def sam_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counting.alignment_barcodes(_alns(spark, sf_dir))
+
+
+@_query("sam_filter_invalid", ALNS_SQL + "SELECT rec_idx, qname, bx FROM alns WHERE NOT regexp_matches(bx, '[ABCD]0{2,4}')")
+def sam_filter_invalid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counting.split_invalid_alignments(_alns(spark, sf_dir), B.HAPLOTAGGING).kept.select("rec_idx", "qname", "bx")
+
+
+@_query("sam_filter_invalid_rejected", ALNS_SQL + "SELECT rec_idx, qname, bx FROM alns WHERE bx IS NULL OR regexp_matches(bx, '[ABCD]0{2,4}')")
+def sam_filter_invalid_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counting.split_invalid_alignments(_alns(spark, sf_dir), B.HAPLOTAGGING).rejected.select("rec_idx", "qname", "bx")
+
+
+_SINGLE_SQL = ALNS_SQL + ", v AS (SELECT *, count(*) OVER (PARTITION BY bx) AS n FROM alns WHERE valid) SELECT rec_idx, bx AS barcode FROM v WHERE n "
+
+
+@_query("sam_filter_singletons", _SINGLE_SQL + "> 2")
+def sam_filter_singletons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counting.split_singleton_alignments(_alns(spark, sf_dir)).kept.select("rec_idx", "barcode")
+
+
+@_query("sam_filter_singletons_out", _SINGLE_SQL + "<= 2")
+def sam_filter_singletons_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counting.split_singleton_alignments(_alns(spark, sf_dir)).rejected.select("rec_idx", "barcode")
+
+
+@_query(
+    "sam_sample",
+    ALNS_SQL + """, pool AS (SELECT DISTINCT bx AS barcode FROM alns WHERE valid), k AS (SELECT barcode, row_number() OVER (ORDER BY md5('3:' || barcode), barcode) AS n FROM pool),
+c AS (SELECT barcode FROM k WHERE n <= (SELECT count(*) * 3 // 10 FROM pool)) SELECT rec_idx, bx FROM alns WHERE bx IN (SELECT barcode FROM c)""",
+)
+def sam_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _alns(spark, sf_dir)
+    chosen = counting.sample_barcodes(counting.alignment_barcodes(rows), 0.3, 0, seed=3)
+    return counting.keep_barcodes(rows, chosen, "bx").select("rec_idx", "bx")
+
+
+@_query("sam_sort", ALNS_SQL + "SELECT rec_idx, row_number() OVER (ORDER BY bx NULLS FIRST, rname NULLS LAST, aln_start, is_reverse, rec_idx) - 1 AS place FROM alns")
+def sam_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_ordinal(_alns(spark, sf_dir), sorting.alignments_order("BX"), "place").select("rec_idx", "place")
+
+
+_PARTS = """, part AS (SELECT *, CASE WHEN is_unmapped THEN 'drop' WHEN bx IS NULL THEN 'missing' WHEN NOT valid THEN 'invalid' ELSE 'molecule' END AS part FROM alns),
+mol AS (SELECT * FROM part WHERE part = 'molecule')"""
+_NUMBERED = """, nums AS (SELECT start_rec, row_number() OVER (ORDER BY start_rec) AS mi FROM (SELECT DISTINCT start_rec FROM starts))
+SELECT p.rec_idx, CASE WHEN part = 'missing' THEN 'A00C00B00D00' ELSE bx END AS bx, mi FROM part p LEFT JOIN starts USING (rec_idx) LEFT JOIN nums USING (start_rec) WHERE part <> 'drop'"""
+
+
+@_query("sam_assign_mi_nocut", ALNS_SQL + _PARTS + ", starts AS (SELECT rec_idx, min(rec_idx) OVER (PARTITION BY rname, bx) AS start_rec FROM mol)" + _NUMBERED)
+def sam_assign_mi_nocut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return molecules.assign_molecules(_alns(spark, sf_dir), B.HAPLOTAGGING).select("rec_idx", "bx", "mi")
+
+
+@_query(
+    "sam_assign_mi_cutoff",
+    ALNS_SQL + _PARTS + f""", g AS (SELECT rec_idx, rname, bx, CASE WHEN coalesce(aln_start - lag(aln_end) OVER w > {CUTOFF}, true) THEN rec_idx END AS s FROM mol WINDOW w AS (PARTITION BY rname, bx ORDER BY rec_idx)),
+starts AS (SELECT rec_idx, max(s) OVER (PARTITION BY rname, bx ORDER BY rec_idx ROWS UNBOUNDED PRECEDING) AS start_rec FROM g)""" + _NUMBERED,
+)
+def sam_assign_mi_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return molecules.assign_molecules(_alns(spark, sf_dir), B.HAPLOTAGGING, CUTOFF, paired=False).select("rec_idx", "bx", "mi")
+
+
+@_query(
+    "sam_assign_mi_paired",
+    ALNS_SQL + _PARTS + f""", o AS (SELECT *, row_number() OVER (PARTITION BY rname, bx ORDER BY rec_idx) AS n, is_reverse OR NOT is_paired AS moves FROM mol),
+walk AS (SELECT rname, bx, n, rec_idx, rec_idx AS start_rec, aln_end AS last FROM o WHERE n = 1 UNION ALL
+SELECT o.rname, o.bx, o.n, o.rec_idx, CASE WHEN o.aln_start - w.last > {CUTOFF} THEN o.rec_idx ELSE w.start_rec END, CASE WHEN o.moves OR o.aln_start - w.last > {CUTOFF} THEN o.aln_end ELSE w.last END
+FROM walk w JOIN o ON o.rname = w.rname AND o.bx = w.bx AND o.n = w.n + 1), starts AS (SELECT rec_idx, start_rec FROM walk)""" + _NUMBERED,
+)
+def sam_assign_mi_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return molecules.assign_molecules(_alns(spark, sf_dir), B.HAPLOTAGGING, CUTOFF).select("rec_idx", "bx", "mi")
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The alignments as three files, places counted in each; every second record has a molecule already."""
+    rows = _alns(spark, sf_dir)
+    mi = F.when(F.col("event_id") % 2 == 0, F.col("event_id") % 50)
+    return rows.withColumns({"file_idx": (F.col("event_id") % 3).cast("int"), "mi": mi.cast("long")})
+
+
+def _concat_sql(key: str) -> str:
+    return ALNS_SQL + f""", k AS (SELECT (event_id % 3)::INT AS file_idx, rec_idx, bx, CASE WHEN event_id % 2 = 0 THEN event_id % 50 END AS mi FROM alns), x AS (SELECT *, {key} AS key FROM k),
+f AS (SELECT file_idx, key, min(rec_idx) AS pos FROM x WHERE key IS NOT NULL GROUP BY ALL), n AS (SELECT file_idx, key, row_number() OVER (ORDER BY file_idx, pos) - 1 AS k FROM f)
+SELECT x.file_idx, rec_idx, coalesce({_code_sql('k', B.HAPLOTAGGING)}, bx) AS bx, coalesce(k + 1, mi)::BIGINT AS mi FROM x LEFT JOIN n ON x.file_idx = n.file_idx AND x.key = n.key"""
+
+
+@_query("sam_concat_bx", _concat_sql("bx"))
+def sam_concat_bx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return concatenation.concat_alignments(_files(spark, sf_dir)).select("file_idx", "rec_idx", "bx", "mi")
+
+
+@_query("sam_concat_mi", _concat_sql("nullif(mi, 0)"))
+def sam_concat_mi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return concatenation.concat_alignments(_files(spark, sf_dir), B.HAPLOTAGGING, by_molecule=True).select("file_idx", "rec_idx", "bx", "mi")
+
+
+def _loose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignments without VX; a third of them has a stlfr barcode in the name instead of BX."""
+    rows = _alns(spark, sf_dir)
+    named = F.col("event_id") % 3 == 0
+    code = F.concat_ws("_", F.col("event_id") % 7, F.col("event_id") % 11, F.lit("5"))
+    bx = F.when(~named, F.col("bx"))
+    tags = F.when(bx.isNotNull(), F.array(A.tag("BX", "Z", bx))).otherwise(A.no_tags())
+    return rows.withColumns({"qname": F.when(named, F.concat("qname", F.lit("#"), code)).otherwise(F.col("qname")), "tags": tags, "bx": bx, "vx": F.lit(None).cast("int")})
+
+
+_LOOSE_SQL = ALNS_SQL + """, lo AS (SELECT rec_idx, qname, CASE WHEN event_id % 3 = 0 THEN (event_id % 7) || '_' || (event_id % 11) || '_5' ELSE bx END AS barcode,
+CASE WHEN event_id % 3 = 0 THEN event_id % 7 <> 0 AND event_id % 11 <> 0 ELSE valid END AS valid FROM alns)
+"""
+
+
+@_query("sam_standardize", _LOOSE_SQL + "SELECT rec_idx, qname, barcode AS bx, valid::INT AS vx FROM lo")
+def sam_standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recoding.standardize_alignments(_loose(spark, sf_dir)).rows.select("rec_idx", "qname", "bx", "vx")
+
+
+@_query("sam_standardize_style", _LOOSE_SQL + ", reads AS (SELECT * FROM lo WHERE barcode IS NOT NULL)" + _map_sql("reads", B.TELLSEQ, "rec_idx") + "SELECT lo.rec_idx, lo.qname, new_barcode AS bx, lo.valid::INT AS vx FROM lo LEFT JOIN mp USING (barcode)")
+def sam_standardize_style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recoding.standardize_alignments(_loose(spark, sf_dir), B.TELLSEQ).rows.select("rec_idx", "qname", "bx", "vx")
+
+
+@_query(
+    "sam_to_fastq",
+    ALNS_SQL + """SELECT CASE WHEN is_read2 THEN 1 ELSE 0 END AS file_idx, rec_idx, qname || CASE WHEN is_read1 THEN '/1' WHEN is_read2 THEN '/2' ELSE '' END AS name,
+coalesce('VX:i:' || valid::INT || chr(9) || 'BX:Z:' || bx, '') AS comment, 'ACGT' AS seq, 'FFFF' AS qual FROM alns""",
+)
+def sam_to_fastq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exchange.to_reads(_alns(spark, sf_dir))
