@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import io
 import os
 import tempfile
 import threading
-import uuid
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -16,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomread.plans.storage import shared_path, written
+
 #: Most bits of a broadcast filter on row keys (16 MB).
 FILTER_BITS = 1 << 27
 #: Rows handed to a Python worker in one Arrow batch. Texts may be long, so a batch stays small.
@@ -45,31 +45,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a local one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        root = tempfile.mkdtemp(prefix="loomread-shared-")
-        spark.sparkContext.setCheckpointDir(root)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return root
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/loomread-{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to a Parquet table in the shared folder and read back: its lineage ends there."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def delete_shared(spark: SparkSession, df: DataFrame) -> None:
     """Remove a table made by :func:`written` that no later plan reads."""
     for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
@@ -142,8 +117,4 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def batches(it: Iterator, *names: str) -> Iterator[tuple]:
-    """Columns of each Arrow batch as Python lists."""
-    for b in it:
-        if b.num_rows:
-            yield tuple(b.column(n).to_pylist() for n in names)
+__all__ = ["delete_shared", "only_rows", "prepare", "shared_path", "size_checked_broadcast", "table", "text_of", "with_row_key", "without_rows", "written"]
