@@ -33,7 +33,8 @@ def encoder(json_path: str, ranks_path: str) -> Callable[[str], np.ndarray]:
     """Text to ids of the byte-level BPE in ``json_path``.
 
     ``ranks_path`` holds the same vocabulary as ranks for a faster encoder with equal ids; texts that spell the special
-    token, for which the two differ, go to the first one.
+    token, for which the two differ, go to the first one, and so do those with runs of white space that are too long for
+    the faster one's pattern.
     """
     if (json_path, ranks_path) not in _ENCODERS:
         import public_tokenizers
@@ -45,12 +46,20 @@ def encoder(json_path: str, ranks_path: str) -> Callable[[str], np.ndarray]:
         fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         slow: list[Tokenizer] = []
 
+        def plain(text: str) -> np.ndarray:
+            if not slow:
+                slow.append(Tokenizer.from_file(json_path))
+            return np.array(slow[0].encode(text, add_special_tokens=False).ids, np.uint32)
+
         def encode(text: str) -> np.ndarray:
             if SPECIAL in text:
-                if not slow:
-                    slow.append(Tokenizer.from_file(json_path))
-                return np.array(slow[0].encode(text, add_special_tokens=False).ids, np.uint32)
-            return np.asarray(fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
+                return plain(text)
+            try:
+                return np.asarray(fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
+            except ValueError as e:  # the pattern ran out of stack or steps
+                if "Regex" not in str(e):
+                    raise
+                return plain(text)
 
         _ENCODERS[json_path, ranks_path] = encode
     return _ENCODERS[json_path, ranks_path]
