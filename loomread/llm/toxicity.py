@@ -31,8 +31,10 @@ from pyspark.sql import functions as F
 FIT_ROWS = 40_000
 MODEL_UNITS = 60_000
 #: Weight of the prior at each step of the nesting, in documents.
-PRIOR = 3.0
+PRIOR = 4.0
 DRIFT = 1.0
+#: How often a word of a text scores above 0.
+REPEATS = 2
 BEGINNINGS = (4, 5, 6)
 THRESHOLD = 0.3
 #: Normalised scores are held within these, for the curve.
@@ -106,10 +108,21 @@ class Model:
             self._known[word] = s
         return s
 
+    def scores(self, words: list[str]) -> np.ndarray:
+        """The words' scores; a word that scores above 0 does so ``REPEATS`` times, then counts as neutral. Else a text
+        that is one faintly suspect word over and over would sum up to anything."""
+        out = np.array([self.token(w) for w in words], float)
+        seen: dict[str, int] = {}
+        for i in np.flatnonzero(out > 0).tolist():
+            seen[words[i]] = n = seen.get(words[i], 0) + 1
+            if n > REPEATS:
+                out[i] = -DRIFT
+        return out
+
     def scan(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
         """The number of tokens; the segments with their normalised scores."""
         words = tokens(text)
-        found = segments(np.array([self.token(w) for w in words], float))
+        found = segments(self.scores(words))
         shift = self.ln_k + math.log(max(len(words), 1))
         return len(words), [(a, b, self.lam * s - shift) for a, b, s in found]
 
@@ -208,7 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, model_unit
         for b in it:
             out = []
             for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
-                scores = np.array([model.token(w) for w in tokens(text)], float)
+                scores = model.scores(tokens(text))
                 found = [s for *_, s in segments(scores)]
                 values, n = np.unique(np.round(scores, 2), return_counts=True)
                 out.append((toxic, len(scores), found, dict(zip(values.tolist(), n.tolist(), strict=True)) if not toxic else {}))

@@ -112,6 +112,13 @@ def test_toxicity_learns_from_its_rows_only(toxic_case):
     assert a.odds == b.odds and a.curve == b.curve and a.lam == b.lam
 
 
+def test_one_word_over_and_over():
+    model = toxicity.Model({"faint": 1.5, "vile": 6.0}, curve=(-3.0, 0.5, 0.5))
+    many = model.statistics("faint " * 500)
+    assert many[1] <= model.statistics("faint faint " + "word " * 498)[1] + 1e-9
+    assert model.score(*model.statistics("vile word " * 3)[:2]) > model.score(*many[:2])
+
+
 def test_toxicity_without_labels(spark):
     df = docs_of(spark, ODD)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -176,6 +183,8 @@ def test_ranks_equal_the_tokenizer():
     for _ in range(300):
         t = "".join(rng.choice(alphabet) for _ in range(rng.randrange(60)))
         assert encode(t).tolist() == reference_ids(t)[:-1]
+    for t in (" " * 300_000 + "x", "\n" * 300_000, "x" * 100_000):
+        assert encode(t).tolist() == reference_ids(t)[:-1]
 
 
 def test_pieces_bounded_state():
