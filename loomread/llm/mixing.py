@@ -33,8 +33,8 @@ BROADCAST_SOURCES = 10_000
 
 def words(text: Column) -> Column:
     """The number of runs of characters other than space and 9-13."""
-    spaced = F.regexp_replace(text, r"[^\x20\x09-\x0D]+", "x")
-    return F.length(F.translate(spaced, " \t\n\x0b\f\r", "")).cast("long")
+    marked = F.regexp_replace(text, r"[^\x20\x09-\x0D]+", "x")
+    return (F.octet_length(marked) - F.octet_length(F.replace(marked, F.lit("x"), F.lit("")))).cast("long")
 
 
 def quality_weight(size: Column, chars: Column) -> Column:
@@ -93,7 +93,8 @@ def _taken(rows: DataFrame, ends: DataFrame, bins: int) -> DataFrame:
 
 
 def _bin(bins: int) -> Column:
-    return F.floor(F.col("key") / (F.col("key") + 1) * bins)
+    # never null: else a test of that, the key's whole expression with it, would be pushed below the projection
+    return F.coalesce(F.floor(F.col("key") / (F.col("key") + 1) * bins), F.lit(0).cast("long"))
 
 
 def _plan(sized: DataFrame, share: float, weights: tuple[int, ...]) -> tuple[DataFrame, int]:
