@@ -35,6 +35,7 @@ COVER = (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109)
 CHECK_BITS = 16
 #: Bytes of text in a batch, about; fingerprints in a bucket.
 BATCH_BYTES = 8_000_000
+HOT_SHARE = 10_000
 BUCKET_SIZE = 3_000_000
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -314,7 +315,14 @@ def remove_repeats_keyed(keyed: DataFrame) -> DataFrame:
 
     base = written(rows.mapInArrow(digest, "doc_id long, __lr_f long, __lr_i long, n_bytes long, digest binary"), "repeat-rows")
     groups = base.where(F.col("n_bytes") >= MATCH).groupBy("digest").agg(F.count("*").alias("copies"), F.min(F.struct("__lr_f", "__lr_i")).alias("one")).where("copies > 1")
-    base = written(base.join(groups, "digest", "left").select("doc_id", "__lr_f", "__lr_i", "n_bytes", "digest", F.col("copies").isNotNull().alias("copied"), F.coalesce((F.col("one.__lr_f") == F.col("__lr_f")) & (F.col("one.__lr_i") == F.col("__lr_i")), F.lit(True)).alias("stands")), "repeat-groups")
+    groups = written(groups, "repeat-copies")
+    # groups with at least 1 / HOT_SHARE of all rows, of which there can be HOT_SHARE, are broadcast; others joined
+    least = max(2, -(-base.count() // HOT_SHARE))
+    hot = F.broadcast(groups.orderBy(F.desc("copies"), "digest").where(F.col("copies") >= least).limit(HOT_SHARE))
+    cold = groups.join(hot.select("digest"), "digest", "left_anti")
+    sure = base.join(hot, "digest").unionByName(base.join(hot.select("digest"), "digest", "left_anti").join(cold, "digest", "left"))
+    first = (F.col("one.__lr_f") == F.col("__lr_f")) & (F.col("one.__lr_i") == F.col("__lr_i"))
+    base = written(sure.select("doc_id", "__lr_f", "__lr_i", "n_bytes", "digest", F.col("copies").isNotNull().alias("copied"), F.coalesce(first, F.lit(True)).alias("stands")), "repeat-groups")
     size, n = base.agg(F.sum("n_bytes"), F.count("*")).first()
     window = MATCH - MODULUS + 1
     buckets = max(8, (size or 0) * len(COVER) // MODULUS // BUCKET_SIZE)
