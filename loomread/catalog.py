@@ -13,6 +13,7 @@ from loomread.functions import reads as R
 from loomread.operators import concatenation, counting, detect, exchange, molecules, pairing, recoding, sorting
 from loomread.plans.ordinals import with_ordinal
 from loomread.sources import adapters
+from loomread.streaming.molecules import drained, stream_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -429,3 +430,15 @@ coalesce('VX:i:' || valid::INT || chr(9) || 'BX:Z:' || bx, '') AS comment, 'ACGT
 )
 def sam_to_fastq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exchange.to_reads(_alns(spark, sf_dir))
+
+
+# ---- streams: all that the source holds, one trigger a file
+
+
+def _stream(spark: SparkSession, table: DataFrame) -> DataFrame:
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(table.inputFiles()[0].rpartition("/")[0])
+
+
+@_query("stream_count", READS_SQL + "SELECT barcode, greatest(count(*) FILTER (file_idx = 0), 1)::BIGINT AS count FROM reads WHERE valid GROUP BY barcode")
+def stream_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drained(stream_counts(R.parse(_stream(spark, adapters.lineitem_reads(spark, sf_dir)), B.STLFR)), spark, "complete")

@@ -91,3 +91,4 @@ def event_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
         return A.promoted(rows.withColumn("tags", tags))
 
     return _once("event_alignments", spark, sf_dir, make)
+

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from loomread.plans.storage import shared_path
+
 STATE = "last long, start_rec long"
 
 
@@ -20,6 +22,8 @@ def stream_molecules(alns: DataFrame, cutoff: int = 0, watermark: str | None = N
     dropped, as a file's are at the end of a contig. Late rows count as overlapping. A molecule is named by ``start_rec``;
     numbers from 1 need all molecules before it and so aren't given on a stream.
 
+    A trigger holds a barcode's new rows in memory: bound it at the source (``maxFilesPerTrigger``).
+
     ``watermark``: a column of event time, for streams that have one; rows later than a minute are dropped then.
     """
     moves = F.col("is_reverse") | ~F.col("is_paired")
@@ -31,17 +35,16 @@ def stream_molecules(alns: DataFrame, cutoff: int = 0, watermark: str | None = N
             state.remove()
             return
         last, start = state.get if state.exists else (None, None)
-        for part in parts:
-            part = part.sort_values("rec_idx")
-            starts = []
-            for rec, begin, end, moving in zip(part["rec_idx"], part["aln_start"], part["aln_end"], part["moves"], strict=True):
-                new = last is None or (cutoff > 0 and begin - last > cutoff)
-                if new:
-                    start = int(rec)
-                if new or moving:
-                    last = int(end)
-                starts.append(start)
-            yield pd.DataFrame({"rname": key[0], "bx": key[1], "rec_idx": part["rec_idx"].to_numpy(), "start_rec": starts})
+        part = pd.concat(list(parts)).sort_values("rec_idx")  # a key's rows of one trigger come in any order
+        starts = []
+        for rec, begin, end, moving in zip(part["rec_idx"], part["aln_start"], part["aln_end"], part["moves"], strict=True):
+            new = last is None or (cutoff > 0 and begin - last > cutoff)
+            if new:
+                start = int(rec)
+            if new or moving:
+                last = int(end)
+            starts.append(start)
+        yield pd.DataFrame({"rname": key[0], "bx": key[1], "rec_idx": part["rec_idx"].to_numpy(), "start_rec": starts})
         state.update((last, start))
         state.setTimeoutDuration(idle_ms)
 
@@ -57,3 +60,15 @@ def stream_window_counts(parsed: DataFrame, time: str, window: str, late: str) -
     """``window, barcode, count`` in tumbling windows of event time, with rows up to ``late`` behind."""
     rows = parsed.where("valid").withWatermark(time, late)
     return rows.groupBy(F.window(time, window).alias("window"), "barcode").agg(F.count("*").alias("count"))
+
+
+def drained(stream: DataFrame, spark: SparkSession, mode: str = "append") -> DataFrame:
+    """All that a stream has now, through files in the shared folder: its result as a table."""
+    out = shared_path(spark, "stream")
+    if mode == "append":
+        query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").outputMode(mode).trigger(availableNow=True).start()
+    else:
+        save = lambda df, _: df.write.mode("overwrite").parquet(out)
+        query = stream.writeStream.foreachBatch(save).option("checkpointLocation", f"{out}-state").outputMode(mode).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
