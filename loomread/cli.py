@@ -31,7 +31,9 @@ def session() -> SparkSession:
     """The session in use, or one of this machine."""
     os.environ.setdefault("PYSPARK_PYTHON", sys.executable)
     builder = SparkSession.builder.appName("loomread").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-    return (builder if SparkSession.getActiveSession() else builder.master(os.environ.get("LOOMREAD_MASTER", "local[*]"))).getOrCreate()
+    if SparkSession.getActiveSession():
+        return builder.getOrCreate()
+    return builder.config("spark.sql.shuffle.partitions", str(os.cpu_count() or 8)).master(os.environ.get("LOOMREAD_MASTER", "local[*]")).getOrCreate()
 
 
 def _parsed(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, str]:

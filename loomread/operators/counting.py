@@ -11,6 +11,7 @@ from loomread.errors import LinkedReadError, SampleSizeError
 from loomread.functions import alignments as A
 from loomread.functions import barcodes as B
 from loomread.plans.ordinals import with_ordinal
+from loomread.plans.storage import written
 
 
 @dataclass(frozen=True)
@@ -121,7 +122,7 @@ def sample_barcodes(barcodes: DataFrame, amount: float, invalid: float = 1.0, se
     """
     if amount is None or amount <= 0 or not 0 <= invalid <= 1:
         raise LinkedReadError("the amount has to be above 0, the share of invalid barcodes between 0 and 1")
-    pool = barcodes.groupBy("barcode").agg(F.max("valid").alias("valid"))
+    pool = written(barcodes.groupBy("barcode").agg(F.max("valid").alias("valid")), "barcode-pool")
     if invalid == 0:
         pool = pool.where("valid")
     elif invalid < 1:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from loomread.functions import alignments as A
 from loomread.functions import barcodes as B
 from loomread.plans.ordinals import with_ordinal
+from loomread.plans.storage import written
 
 
 def classified(alns: DataFrame, keep_unmapped: bool = False) -> DataFrame:
@@ -73,7 +74,7 @@ def assign_molecules(alns: DataFrame, chemistry: str, cutoff: int = 0, keep_unma
     of their first record.
     """
     rows = classified(alns, keep_unmapped).where("part <> 'drop'")
-    starts = molecule_starts(rows.where("part = 'molecule'"), cutoff, paired)
+    starts = written(molecule_starts(rows.where("part = 'molecule'"), cutoff, paired), "molecule-starts")
     numbers = with_ordinal(starts.select("start_rec").distinct(), ["start_rec"], "n")
     mi = starts.join(numbers, "start_rec").select("rec_idx", (F.col("n") + 1).alias("new_mi"))
     out = rows.join(mi, "rec_idx", "left")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomread.functions import barcodes as B
 from loomread.functions import reads as R
 from loomread.plans.ordinals import with_ordinal, with_runs
+from loomread.plans.storage import written
 
 _PARTS = ("id", "rest", "seq", "qual", "designation", "barcode", "valid", "forward")
 
@@ -16,12 +17,6 @@ def _side(n: int) -> list:
     return [F.col(c).alias(f"{c}_{n}") for c in _PARTS]
 
 
-def read_pairs(parsed: DataFrame) -> DataFrame:
-    """Pairs that both files have, as columns with ``_1`` and ``_2``."""
-    first = parsed.where("file_idx = 0").select("rec_idx", *_side(1))
-    return first.join(parsed.where("file_idx = 1").select("rec_idx", *_side(2)), "rec_idx")
-
-
 def spoof_pairs(parsed: DataFrame, max_pairs: int = 1, singletons: bool = False, invalid: bool = False, seed: int = 0) -> DataFrame:
     """``rec_idx, mate_idx, k, barcode`` and both reads' columns of each pair to write.
 
@@ -32,9 +27,10 @@ def spoof_pairs(parsed: DataFrame, max_pairs: int = 1, singletons: bool = False,
 
     Partners are found by their place, so that the join makes as many rows as there are pairs to write.
     """
-    pairs = read_pairs(parsed)
-    good = pairs.where(F.col("valid_1") & F.col("valid_2"))
-    runs = with_runs(good.select("rec_idx", "barcode_1"), "barcode_1", "rec_idx").select("rec_idx", "run")
+    first, second = parsed.where("file_idx = 0"), parsed.where("file_idx = 1")
+    keys = first.select("rec_idx", "barcode", "valid").join(second.select("rec_idx", F.col("valid").alias("mate_valid")), "rec_idx")
+    keys = written(keys.select("rec_idx", "barcode", (F.col("valid") & F.col("mate_valid")).alias("good")), "pair-keys")
+    runs = with_runs(keys.where("good").select("rec_idx", "barcode"), "barcode", "rec_idx").select("rec_idx", "run")
     mark = F.md5(F.concat(F.lit(f"{seed}:"), F.col("rec_idx").cast("string")))
     placed = with_ordinal(runs.withColumn("mark", mark), ["run", "mark", "rec_idx"], "at")
     sizes = placed.groupBy("run").agg(F.count("*").alias("n"), F.min("at").alias("begin"))
@@ -42,21 +38,16 @@ def spoof_pairs(parsed: DataFrame, max_pairs: int = 1, singletons: bool = False,
     several = placed.where("n > 1").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(max_pairs), "n") - 1)))
     start = F.when(F.lit(max_pairs) == 1, 1).otherwise(F.pmod(F.conv(F.substring("mark", 1, 12), 16, 10).cast("long"), F.col("n")))
     links = several.select("rec_idx", "run", "k", F.pmod(F.col("place") + start + F.col("k"), F.col("n")).alias("place"))
-    links = links.join(placed.select("run", "place", F.col("rec_idx").alias("mate_idx")), ["run", "place"]).select("rec_idx", "mate_idx", "k")
-    firsts = good.select("rec_idx", *[f"{c}_1" for c in _PARTS])
-    seconds = good.select(F.col("rec_idx").alias("mate_idx"), *[f"{c}_2" for c in _PARTS])
-    out = links.join(firsts, "rec_idx").join(seconds, "mate_idx")
-    new = R.random_id(F.col("id_1"), F.concat_ws(":", "rec_idx", "k"), seed)
-    out = out.withColumn("id_1", new).withColumn("id_2", F.col("id_1")).withColumn("barcode", F.col("barcode_1"))
-    columns = ["rec_idx", "mate_idx", "k", "barcode", *[f"{c}_{n}" for n in (1, 2) for c in _PARTS]]
-    out = out.select(*columns)
-    alike = lambda rows: rows.withColumns({"mate_idx": F.col("rec_idx"), "k": F.lit(0).cast("long"), "barcode": F.col("barcode_1")}).select(*columns)
+    links = links.join(placed.select("run", "place", F.col("rec_idx").alias("mate_idx")), ["run", "place"]).select("rec_idx", "mate_idx", "k", F.lit(True).alias("new"))
+    alike = lambda rows: rows.select("rec_idx", F.col("rec_idx").alias("mate_idx"), F.lit(0).cast("long").alias("k"), F.lit(False).alias("new"))
     if singletons:
-        alone = placed.where("n = 1").select("rec_idx")
-        out = out.unionByName(alike(good.join(alone, "rec_idx", "left_semi")))
+        links = links.unionByName(alike(placed.where("n = 1")))
     if invalid:
-        out = out.unionByName(alike(pairs.where(~(F.col("valid_1") & F.col("valid_2")))))
-    return out
+        links = links.unionByName(alike(keys.where("not good")))
+    out = links.join(first.select("rec_idx", *_side(1)), "rec_idx").join(second.select(F.col("rec_idx").alias("mate_idx"), *_side(2)), "mate_idx")
+    renamed = R.random_id(F.col("id_1"), F.concat_ws(":", "rec_idx", "k"), seed)
+    out = out.withColumn("id_1", F.when(F.col("new"), renamed).otherwise(F.col("id_1"))).withColumn("id_2", F.when(F.col("new"), F.col("id_1")).otherwise(F.col("id_2")))
+    return out.select("rec_idx", "mate_idx", "k", F.col("barcode_1").alias("barcode"), *[f"{c}_{n}" for n in (1, 2) for c in _PARTS])
 
 
 def pair_reads(pairs: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from loomread.functions import alignments as A
 from loomread.functions import barcodes as B
 from loomread.functions import reads as R
 from loomread.plans.ordinals import with_ordinal
+from loomread.plans.storage import written
 
 #: Barcode lists up to so many rows (of at most 60 bases) are broadcast.
 BROADCAST_WHITELIST = 500_000
@@ -28,7 +29,9 @@ def dictionary(rows: DataFrame, style: str, pos: Column, key: str = "barcode") -
     invalid ones its invalid value. Only distinct barcodes are numbered."""
     if style not in B.STYLES:
         raise LinkedReadError(f"unknown style: {style}")
-    first = rows.groupBy(F.col(key).alias("barcode")).agg(F.min(pos).alias("pos"), F.min_by("valid", pos).alias("valid"))
+    # one aggregate: the order of structs is that of their first fields, so the least one has the first row's validity
+    least = rows.groupBy(F.col(key).alias("barcode")).agg(F.min(F.struct(pos.alias("pos"), "valid")).alias("f"))
+    first = written(least.select("barcode", "f.pos", "f.valid"), "dictionary")
     numbered = with_ordinal(first.where("valid"), ["pos"], "n").withColumn("new_barcode", B.nth(F.col("n"), style)).drop("n")
     return numbered.unionByName(first.where(~F.col("valid")).withColumn("new_barcode", F.lit(B.INVALID[style]))).select("barcode", "new_barcode", "valid", "pos")
 

@@ -15,10 +15,12 @@ _LOCAL = (1 << 33) - 1  # the low bits of monotonically_increasing_id count with
 def with_ordinal(df: DataFrame, order: list[Column | str], name: str = "ordinal", one_window: int = ONE_WINDOW) -> DataFrame:
     """``df`` with each row's place (from 0) in the total ``order``.
 
-    Few rows: a window. Many: ranges of the order are sorted each on its own and written with their running ids; the
-    sizes of the ranges, one row each, give where each begins.
+    The rows are written first, so that they are made once; keep them narrow. Few rows: a window. Many: ranges of the
+    order are sorted each on its own and written with their running ids; the sizes of the ranges, one row each, give
+    where each begins.
     """
-    if df.limit(one_window + 1).count() <= one_window:
+    df = written(df, "ordinal-rows")
+    if df.count() <= one_window:
         return df.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())

@@ -14,12 +14,12 @@ from loomread.plans.storage import shared_path
 STATE = "last long, start_rec long"
 
 
-def stream_molecules(alns: DataFrame, cutoff: int = 0, watermark: str | None = None, idle_ms: int = 3_600_000) -> DataFrame:
+def stream_molecules(alns: DataFrame, cutoff: int = 0, watermark: str | None = None, idle_ms: int | None = None) -> DataFrame:
     """``rname, bx, rec_idx, start_rec`` of a stream of valid, mapped alignments, each contig's in order.
 
     The state of a contig's barcode is the end of its current molecule and the record that it began with; as in a file,
-    a forward mate that doesn't begin a molecule leaves the end where it is. States that get nothing for ``idle_ms`` are
-    dropped, as a file's are at the end of a contig. Late rows count as overlapping. A molecule is named by ``start_rec``;
+    a forward mate that doesn't begin a molecule leaves the end where it is. With ``idle_ms``, states that get
+    nothing for so long are dropped, as a file's are at the end of a contig; such a stream runs until it is stopped. Late rows count as overlapping. A molecule is named by ``start_rec``;
     numbers from 1 need all molecules before it and so aren't given on a stream.
 
     A trigger holds a barcode's new rows in memory: bound it at the source (``maxFilesPerTrigger``).
@@ -46,9 +46,10 @@ def stream_molecules(alns: DataFrame, cutoff: int = 0, watermark: str | None = N
             starts.append(start)
         yield pd.DataFrame({"rname": key[0], "bx": key[1], "rec_idx": part["rec_idx"].to_numpy(), "start_rec": starts})
         state.update((last, start))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
 
-    return rows.groupBy("rname", "bx").applyInPandasWithState(step, "rname string, bx string, rec_idx long, start_rec long", STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("rname", "bx").applyInPandasWithState(step, "rname string, bx string, rec_idx long, start_rec long", STATE, "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def stream_counts(parsed: DataFrame) -> DataFrame:

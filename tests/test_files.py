@@ -195,14 +195,14 @@ def test_stream_molecules(spark, tmp_path):
     df = spark.createDataFrame(rows, schema)
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     q = stream_molecules(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), 100).writeStream.format("memory").queryName("mols").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    assert q.awaitTermination(120)
     got = {r.rec_idx: r.start_rec for r in spark.table("mols").collect()}
     want = {r.rec_idx: r.start_rec for r in molecules.molecule_starts(df, 100).collect()}
     assert got == want and len(set(want.values())) == 4
     parsed = spark.createDataFrame([("x", True, 0), ("x", True, 0), ("y", True, 1), ("z", False, 0)], "barcode string, valid boolean, file_idx int")
     parsed.write.parquet(str(tmp_path / "in2"))
     q = stream_counts(spark.readStream.schema(parsed.schema).parquet(str(tmp_path / "in2"))).writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    assert q.awaitTermination(120)
     assert {r["barcode"]: r["count"] for r in spark.table("counts").collect()} == {"x": 2, "y": 1}
 
 
