@@ -13,7 +13,7 @@ from loomread.functions import reads as R
 from loomread.operators import concatenation, counting, detect, exchange, molecules, pairing, recoding, sorting
 from loomread.plans.ordinals import with_ordinal
 from loomread.sources import adapters
-from loomread.streaming.molecules import drained, stream_counts
+from loomread.streaming.molecules import drained, stream_counts, stream_molecules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -439,6 +439,16 @@ def _stream(spark: SparkSession, table: DataFrame) -> DataFrame:
     return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(table.inputFiles()[0].rpartition("/")[0])
 
 
+@_query(
+    "stream_assign_mi",
+    ALNS_SQL + _PARTS + f""", g AS (SELECT rec_idx, rname, bx, CASE WHEN coalesce(aln_start - lag(aln_end) OVER w > {CUTOFF}, true) THEN rec_idx END AS s FROM mol WINDOW w AS (PARTITION BY rname, bx ORDER BY rec_idx))
+SELECT rname, bx, rec_idx, max(s) OVER (PARTITION BY rname, bx ORDER BY rec_idx ROWS UNBOUNDED PRECEDING) AS start_rec FROM g""",
+)
+def stream_assign_mi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Molecules of a stream of alignments, all of them moving the end."""
+    return drained(stream_molecules(_stream(spark, adapters.ordered_molecule_rows(spark, sf_dir)), CUTOFF), spark)
+
+
 @_query("stream_count", READS_SQL + "SELECT barcode, greatest(count(*) FILTER (file_idx = 0), 1)::BIGINT AS count FROM reads WHERE valid GROUP BY barcode")
 def stream_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(stream_counts(R.parse(_stream(spark, adapters.lineitem_reads(spark, sf_dir)), B.STLFR)), spark, "complete")

@@ -92,3 +92,12 @@ def event_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return _once("event_alignments", spark, sf_dir, make)
 
+
+def ordered_molecule_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mapped, valid :func:`event_alignments` without forward mates, in one file: what a stream of them brings."""
+
+    def make() -> DataFrame:
+        rows = event_alignments(spark, sf_dir).where("not is_unmapped and vx = 1 and aln_start is not null")
+        return rows.select("rname", "bx", "rec_idx", "aln_start", "aln_end", "is_reverse", F.lit(False).alias("is_paired")).coalesce(1)
+
+    return _once("ordered_molecule_rows", spark, sf_dir, make)
