@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 HAPLOTAGGING, STLFR, TELLSEQ, TENX, STANDARD = "haplotagging", "stlfr", "tellseq", "10x", "standard"
+NCBI = "ncbi"  # barcodes of 20 bases; no command writes them
 STYLES = (TENX, HAPLOTAGGING, STLFR, TELLSEQ)
 CHEMISTRIES = (*STYLES, STANDARD)
 
@@ -17,9 +18,9 @@ IN_NAME = {STLFR: r"#[0-9]+_[0-9]+_[0-9]+(\s|$)", TELLSEQ: r":[ATCGN]+(\s|$)"}
 IN_TAG = {HAPLOTAGGING: r"A[0-9]{2}C[0-9]{2}B[0-9]{2}D[0-9]{2}", STLFR: r"[0-9]+_[0-9]+_[0-9]+$", TELLSEQ: r"[ATCGN]+$"}
 TAG_INVALID = {HAPLOTAGGING: r"[ABCD]0{2,4}", STLFR: STLFR_INVALID, TELLSEQ: r"N"}
 NAME_SUFFIX = r":[ATCGN]+$|#[0-9]+_[0-9]+_[0-9]+$"
-INVALID = {HAPLOTAGGING: "A00C00B00D00", STLFR: "0_0_0", TELLSEQ: "N" * 18, TENX: "N" * 16}
+INVALID = {HAPLOTAGGING: "A00C00B00D00", STLFR: "0_0_0", TELLSEQ: "N" * 18, TENX: "N" * 16, NCBI: "N" * 20}
 BASES = "ATCG"
-CAPACITY = {HAPLOTAGGING: 96**4, STLFR: 1537**3, TELLSEQ: 4**18, TENX: 4**16}
+CAPACITY = {HAPLOTAGGING: 96**4, STLFR: 1537**3, TELLSEQ: 4**18, TENX: 4**16, NCBI: 4**20}
 
 
 def is_invalid(barcode: Column) -> Column:
@@ -55,6 +56,6 @@ def nth(ordinal: Column, style: str) -> Column:
     elif style == STLFR:
         text = F.concat_ws("_", *[digit(1537, place) for place in (2, 1, 0)])
     else:
-        n = 18 if style == TELLSEQ else 16
+        n = len(INVALID[style])
         text = F.concat(*[F.substring(F.lit(BASES), F.pmod(F.shiftright(k, 2 * p), F.lit(4)).cast("int") + 1, F.lit(1)) for p in range(n - 1, -1, -1)])
     return F.when((k >= 0) & (k < CAPACITY[style]), text).otherwise(F.raise_error(F.lit(f"more barcodes than the {style} style has ({CAPACITY[style]})")))

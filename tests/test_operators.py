@@ -315,6 +315,14 @@ def test_ordinals_by_ranges(spark):
         assert {r.i: r.n for r in with_ordinal(df, ["v", "i"], "n", most).collect()} == want
 
 
+def test_shared_tables(spark):
+    from loomread.plans.storage import shared_path, written
+
+    df = written(spark.range(5), "five")
+    assert df.count() == 5 and shared_path(spark, "x") != shared_path(spark, "x")
+    assert all(spark.sparkContext.applicationId in f for f in df.inputFiles())
+
+
 def test_runs(spark):
     rng = random.Random(4)
     places = sorted(rng.sample(range(5000), 400))

@@ -90,11 +90,11 @@ def nth(style, k):
         return "".join(f"{c}{x:02d}" for c, x in zip("ACBD", d, strict=True))
     if style == "stlfr":
         return "_".join(str(k // 1537**p % 1537 + 1) for p in (2, 1, 0))
-    n = 18 if style == "tellseq" else 16
+    n = {"tellseq": 18, "10x": 16, "ncbi": 20}[style]
     return "".join("ATCG"[k // 4**p % 4] for p in range(n - 1, -1, -1))
 
 
-@pytest.mark.parametrize("style", B.STYLES)
+@pytest.mark.parametrize("style", [*B.STYLES, B.NCBI])
 def test_nth_barcode(spark, style):
     rng = random.Random(1)
     ks = [0, 1, 95, 96, 1536, 1537, B.CAPACITY[style] - 1, *(rng.randrange(B.CAPACITY[style]) for _ in range(200))]
