@@ -2,7 +2,9 @@
 
 Each token scores its log-odds for toxic documents under nested Dirichlet priors (a word leans on its 6-letter
 beginning, that on the 5-letter one, then 4 letters, then the base rate), less a drift, so that neutral text scores
-negative on average. A linear-time scan finds all maximal scoring segments (Ruzzo and Tompa). Their scores are
+negative on average. A linear-time scan finds all maximal scoring segments (Ruzzo and Tompa). In a segment a word adds
+to the score ``REPEATS`` times and its further uses add nothing; a segment with such uses is scanned again for the
+passages in it, each of which counts uses from its own start. What stands elsewhere in a text doesn't matter. Scores are
 calibrated as extreme values (Karlin and Altschul): lambda solves sum p(s) exp(lambda s) = 1 over clean text, ln K comes
 from the highest segments of clean documents, and a segment of score S in a text of n tokens has the normalised score
 lambda S - ln(K n), its -ln(E). A logistic curve over the best and the summed normalised scores gives the score.
@@ -33,7 +35,7 @@ MODEL_UNITS = 60_000
 #: Weight of the prior at each step of the nesting, in documents.
 PRIOR = 4.0
 DRIFT = 1.0
-#: How often a word of a text scores above 0.
+#: How often a word adds to the score of one segment.
 REPEATS = 2
 BEGINNINGS = (4, 5, 6)
 THRESHOLD = 0.3
@@ -88,6 +90,57 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, h - lo) for a, b, lo, h in zip(first, last, low, high, strict=True)]
 
 
+def _reach(words: list[str], scores: list[float], places: range) -> tuple[int, float]:
+    """How many of ``places``, from the first on, give the highest sum (the most of them) before the sum falls to 0, and
+    that sum. A word adds ``REPEATS`` times."""
+    uses: dict[str, int] = {}
+    total = best = 0.0
+    most = 0
+    for read, i in enumerate(places, 1):
+        s = scores[i]
+        if s > 0:
+            uses[words[i]] = n = uses.get(words[i], 0) + 1
+            if n > REPEATS:
+                s = 0.0
+        total += s
+        if total >= best:
+            most, best = read, total
+        elif total <= 0:
+            break
+    return most, best
+
+
+def passages(words: list[str], scores: np.ndarray) -> list[tuple[int, int, float]]:
+    """Segments as (first, after last, score), where a word adds to the score of a segment ``REPEATS`` times.
+
+    They are the maximal scoring segments, but those with further uses of a word are read from the left as far as the
+    sum grows and from there back to the best start, so that repeats neither add up nor hide what comes after them.
+    """
+    out, plain = [], None
+    for first, after, total in segments(scores):
+        if after - first > REPEATS:
+            uses = Counter(words[i] for i in (first + np.flatnonzero(scores[first:after] > 0)).tolist())
+            if max(uses.values()) > REPEATS:
+                plain = scores.tolist() if plain is None else plain
+                found, todo = [], [(first, after)]
+                while todo:
+                    a, b = todo.pop()
+                    while a < b and plain[a] <= 0:
+                        a += 1
+                    if a == b:
+                        continue
+                    most, _ = _reach(words, plain, range(a, b))
+                    end = a + most
+                    most, best = _reach(words, plain, range(end - 1, a - 1, -1))
+                    start = end - most
+                    found.append((start, end, best))
+                    todo += [(end, b), (a, start)]
+                out += sorted(found)
+                continue
+        out.append((first, after, total))
+    return out
+
+
 @dataclass
 class Model:
     """Log-odds of words and beginnings, the calibration and the curve. Small: at most ``MODEL_UNITS`` entries."""
@@ -109,20 +162,12 @@ class Model:
         return s
 
     def scores(self, words: list[str]) -> np.ndarray:
-        """The words' scores; a word that scores above 0 does so ``REPEATS`` times, then counts as neutral. Else a text
-        that is one faintly suspect word over and over would sum up to anything."""
-        out = np.array([self.token(w) for w in words], float)
-        seen: dict[str, int] = {}
-        for i in np.flatnonzero(out > 0).tolist():
-            seen[words[i]] = n = seen.get(words[i], 0) + 1
-            if n > REPEATS:
-                out[i] = -DRIFT
-        return out
+        return np.array([self.token(w) for w in words], float)
 
     def scan(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
         """The number of tokens; the segments with their normalised scores."""
         words = tokens(text)
-        found = segments(self.scores(words))
+        found = passages(words, self.scores(words))
         shift = self.ln_k + math.log(max(len(words), 1))
         return len(words), [(a, b, self.lam * s - shift) for a, b, s in found]
 
@@ -221,8 +266,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, model_unit
         for b in it:
             out = []
             for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
-                scores = model.scores(tokens(text))
-                found = [s for *_, s in segments(scores)]
+                words = tokens(text)
+                scores = model.scores(words)
+                found = [s for *_, s in passages(words, scores)]
                 values, n = np.unique(np.round(scores, 2), return_counts=True)
                 out.append((toxic, len(scores), found, dict(zip(values.tolist(), n.tolist(), strict=True)) if not toxic else {}))
             hist: Counter = Counter()

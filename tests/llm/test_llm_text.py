@@ -119,6 +119,49 @@ def test_one_word_over_and_over():
     assert model.score(*model.statistics("vile word " * 3)[:2]) > model.score(*many[:2])
 
 
+def test_late_passages_are_found():
+    """Earlier uses of its words, in harmless places or in another passage, don't hide a passage."""
+    passage = "vile rude foul mean grim dire"
+    model = toxicity.Model(dict.fromkeys(passage.split(), 6.0), curve=(-3.0, 0.5, 0.5))
+    harmless = " ".join(f"{w} {'word ' * 30}" for w in passage.split() * 2)
+    for between in (3, 30, 300):
+        text = f"{harmless} {passage} {'word ' * between} {passage} {'word ' * 50} {passage}"
+        words = toxicity.tokens(text)
+        good = model.statistics(text)[2]
+        assert [words[a:b] for a, b, _ in good][-1] == passage.split()
+        assert sum(w != "word" for a, b, _ in good for w in words[a:b]) == 18
+    alone = model.statistics("word " * 900 + passage)
+    late = model.statistics(harmless + "word " * (900 - len(harmless.split())) + passage)
+    assert late[0] == pytest.approx(alone[0])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("abcdefg"), max_size=60))
+def test_passages(words):
+    value = {"a": 5.1, "b": 2.3, "c": 0.7, "d": -1.0, "e": -1.1, "f": -1.3, "g": -2.9}
+    scores = np.array([value[w] for w in words], float)
+    found = toxicity.passages(words, scores)
+    whole = toxicity.segments(scores)
+    end = 0
+    for a, b, s in found:
+        part = words[a:b]
+        want = sum(value[w] * (min(part.count(w), toxicity.REPEATS) if value[w] > 0 else part.count(w)) for w in set(part))
+        assert end <= a < b and s == pytest.approx(want) and s > 0
+        assert any(c <= a and b <= d for c, d, _ in whole)
+        end = b
+    inside = {i for a, b, _ in found for i in range(a, b)}
+    assert inside >= {i for i, w in enumerate(words) if value[w] > 0}  # every use is in a segment
+    if all(words.count(w) <= toxicity.REPEATS for w in "abc"):
+        assert found == whole
+
+
+def test_repeats_take_linear_time():
+    rng = random.Random(8)
+    for words in (["vile"] * 300_000, ["vile", "word"] * 150_000, [rng.choice(["vile", "faint", "rude", "word"]) for _ in range(300_000)]):
+        model = toxicity.Model({"faint": 1.5, "vile": 6.0, "rude": 3.0})
+        assert toxicity.passages(words, model.scores(words))
+
+
 def test_toxicity_without_labels(spark):
     df = docs_of(spark, ODD)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
