@@ -1,0 +1,142 @@
+"""Near copies by word shingles: five words, Jaccard similarity 0.8 or more, verified.
+
+Candidates share one of ``BANDS`` hashes of ``ROWS`` minima each of their shingles' hashes: a pair at similarity 0.8 has
+a chance of 3 in 100,000 to share none, one at 0.9 less than 1 in 10^9. Each candidate is compared on its whole set of
+shingles. First all rows of a band's bucket are compared with the least one; the pairs of a bucket that this leaves in
+different components follow, where their sizes and minima don't rule 0.8 out.
+
+Defined results: texts of fewer words are one shingle; null and empty texts are copies of each other; a row without an
+id comes after all that have one.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from loomread.llm.common import only_rows, with_row_key, without_rows, written
+from loomread.llm.components import components
+
+WORDS = 5
+#: Least similarity, in tenths.
+TENTHS = 8
+BANDS, ROWS = 20, 4
+#: Equal minima of a pair that is compared; at similarity 0.8, 64 of 80 are expected, with a deviation of 3.6.
+LEAST_EQUAL = 45
+_RNG = np.random.default_rng(5)
+_TIMES = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLUS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+_CHUNK = 4096
+ID = "struct<x:boolean,d:bigint,f:bigint,i:bigint>"
+
+
+def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+    """Hashes of the distinct shingles, sorted; words as in the SimHash."""
+    parts = (text or "").encode().lower().split()
+    joined = b" ".join(parts)
+    ends = np.cumsum([len(p) + 1 for p in parts or [b""]]) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    size = min(words, len(ends))
+    digest = xxhash.xxh64_intdigest
+    got = [digest(joined[s:e]) for s, e in zip(starts[: len(ends) - size + 1].tolist(), ends[size - 1 :].tolist(), strict=True)]
+    return np.unique(np.array(got, np.uint64))
+
+
+def minima(hashes: np.ndarray) -> np.ndarray:
+    out = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(hashes), _CHUNK):
+        part = hashes[k : k + _CHUNK]
+        for j in range(BANDS * ROWS):
+            out[j] = min(out[j], (part * _TIMES[j] + _PLUS[j]).min())
+    return out
+
+
+def _signatures(keyed: DataFrame) -> DataFrame:
+    """``id, n, low, bands``: the number of shingles, the minima's low bytes and the bands' hashes of each row."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            n, low, bands = [], [], []
+            for text in b.column("text").to_pylist():
+                got = shingles(text)
+                least = minima(got)
+                n.append(len(got))
+                low.append(least.astype(np.uint8).tobytes())
+                bands.append(np.array([xxhash.xxh64_intdigest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(low, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["id", "n", "low", "bands"])
+
+    return _with_id(keyed).select("id", "text").mapInArrow(run, f"id {ID}, n long, low binary, bands array<long>")
+
+
+def _with_id(keyed: DataFrame) -> DataFrame:
+    doc = F.col("doc_id").cast("long")
+    own = F.struct(doc.isNull().alias("x"), F.coalesce(doc, F.lit(0)).alias("d"), F.col("__lr_f").alias("f"), F.col("__lr_i").alias("i"))
+    return keyed.select(own.cast(ID).alias("id"), F.col("text").cast("string").alias("text"), "__lr_f", "__lr_i")
+
+
+def _similar(keyed: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` whose sets of shingles are similar enough."""
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-ids")
+    rows = only_rows(keyed.select("doc_id", "text", "__lr_f", "__lr_i"), ids.select(F.col("id.f").alias("__lr_f"), F.col("id.i").alias("__lr_i")), ids.count())
+
+    def sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([shingles(t).tobytes() for t in b.column("text").to_pylist()], pa.binary())], ["id", "held"])
+
+    held = written(_with_id(rows).select("id", "text").mapInArrow(sets, f"id {ID}, held binary"), "near-sets")
+    joined = pairs.join(held.select(F.col("id").alias("a"), F.col("held").alias("p")), "a").join(held.select(F.col("id").alias("b"), F.col("held").alias("q")), "b")
+
+    def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            hit = []
+            for p, q in zip(b.column("p"), b.column("q"), strict=True):
+                x, y = np.frombuffer(p.as_py(), np.uint64), np.frombuffer(q.as_py(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                hit.append(10 * both >= TENTHS * (len(x) + len(y) - both))
+            yield b.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
+
+    return written(joined.select("a", "b", "p", "q").mapInArrow(compare, f"a {ID}, b {ID}"), "near-links")
+
+
+def _not_ruled_out(pairs: DataFrame) -> DataFrame:
+    """``a, b`` of ``a, b, p, q`` with enough equal minima."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            if len(b):
+                p, q = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(len(b), -1) for c in ("p", "q"))
+                yield b.select(["a", "b"]).filter(pa.array((p == q).sum(axis=1) >= LEAST_EQUAL, pa.bool_()))
+
+    return pairs.select("a", "b", "p", "q").mapInArrow(run, f"a {ID}, b {ID}")
+
+
+def near_copies(keyed: DataFrame) -> DataFrame:
+    """``node, root``: the rows that aren't the least of their component, with that least one."""
+    signed = written(_signatures(keyed), "near-signatures")
+    members = signed.select("id", F.explode("bands").alias("h"))
+    heads = members.groupBy("h").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head <> last").select("h", "head")
+    shared = written(members.join(heads, "h").select("h", "id", "head"), "near-buckets")
+    stars = written(shared.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct(), "near-pairs")
+    first = _similar(keyed, stars)
+    roots = components(first)
+    # what the stars left apart: pairs of a bucket in different components
+    placed = shared.select("h", "id").join(roots, shared.id == roots.node, "left").select("h", "id", F.coalesce("root", "id").alias("root"))
+    open_ = placed.groupBy("h").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("h")
+    rest = written(placed.join(open_, "h").join(signed.select("id", "n", "low"), "id"), "near-rest")
+    a = rest.select("h", F.col("id").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("low").alias("p"))
+    b = rest.select("h", F.col("id").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("low").alias("q"))
+    pairs = _not_ruled_out(a.join(b, "h").where(f"a > b and ra <> rb and 10 * least(na, nb) >= {TENTHS} * greatest(na, nb)"))
+    pairs = written(pairs.distinct().join(stars, ["a", "b"], "left_anti"), "near-pairs")
+    return roots if pairs.isEmpty() else components(first.unionByName(_similar(keyed, pairs)))
+
+
+def drop_near_copies(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component of similar texts: the one with its least id."""
+    keyed = with_row_key(docs)
+    gone = written(near_copies(keyed).select(F.col("node.f").alias("__lr_f"), F.col("node.i").alias("__lr_i")), "near-gone")
+    return without_rows(keyed, gone, gone.count()).select(*docs.columns)

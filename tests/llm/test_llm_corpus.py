@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from loomread.llm import components, exact_dedup, lm_score, mixing, simhash, suffix_dedup
+from loomread.llm import components, exact_dedup, lm_score, mixing, near_dedup, simhash, suffix_dedup
 from loomread.llm.common import only_rows, with_row_key, without_rows
 
 CLASH = ("key", "size", "bin", "taken", "score", "digest", "fp", "root", "a", "b", "batch", "kept")
@@ -221,6 +221,49 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+# ---- near dedup by shingles
+
+
+def plain_shingles(text, n=5):
+    w = re.findall(r"[^\x20\x09-\x0D]+", lower(text))
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))}
+
+
+def similar_roots(texts):
+    s = [plain_shingles(t) for t in texts]
+    return union(len(s), [(i, j) for i in range(len(s)) for j in range(i + 1, len(s)) if 10 * len(s[i] & s[j]) >= 8 * len(s[i] | s[j])])
+
+
+def kept_by_similarity(rows):
+    """Of each component, the least id, ids that are null last."""
+    stays: dict = {}
+    for root, (i, *_) in zip(similar_roots([t for _, t, *_ in rows]), rows, strict=True):
+        stays[root] = min(stays.get(root, (True, 0)), (i is None, i or 0))
+    return Counter(None if null else i for null, i in stays.values())
+
+
+def test_near_copies(spark, case):
+    rows, df = case
+    rest = near_dedup.drop_near_copies(df)
+    assert rest.columns == df.columns
+    assert Counter(r.doc_id for r in rest.collect()) == kept_by_similarity(rows)
+    assert near_dedup.drop_near_copies(df.limit(0)).count() == 0
+
+
+def test_near_copies_left_by_stars(spark):
+    """Texts that share a passage, and so buckets, with others than their copies."""
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    passage, rows = [word() for _ in range(120)], []
+    for _ in range(40):
+        w = passage + [word() for _ in range(rng.randrange(20, 60))]
+        for _ in range(3):
+            v = list(w)
+            v[rng.randrange(120, len(v))] = word()
+            rows.append((len(rows), " ".join(v), "s"))
+    assert Counter(r.doc_id for r in near_dedup.drop_near_copies(docs_of(spark, rows)).collect()) == kept_by_similarity(rows)
+
+
 # ---- suffix dedup
 
 
