@@ -274,10 +274,11 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, model_unit
             hist: Counter = Counter()
             for x in out:
                 hist.update(x[3])
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int64()), pa.array([sorted(x[2])[-16:] for x in out], pa.list_(pa.float64()))], ["toxic", "n", "found"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int64()), pa.array([[max(x[2])] if x[2] else [] for x in out], pa.list_(pa.float64()))], ["toxic", "n", "found"])
             yield pa.RecordBatch.from_arrays([pa.array([-1] * len(hist), pa.int32()), pa.array(list(hist.values()), pa.int64()), pa.array([[v] for v in hist], pa.list_(pa.float64()))], ["toxic", "n", "found"])
 
-    measured = rows.where("aside" if trial is not final else "true").mapInArrow(measure, "toxic int, n long, found array<double>")
+    aside = rows.where("aside" if trial is not final else "true")
+    measured = aside.mapInArrow(measure, "toxic int, n long, found array<double>")
     got = measured.where("toxic >= 0").collect()  # at most fit_rows rows
     hist = measured.where("toxic < 0").groupBy(F.element_at("found", 1).alias("s")).agg(F.sum("n").alias("n")).collect()
     if hist:
@@ -286,11 +287,17 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, model_unit
     top = [(max(r["found"]), r["n"]) for r in got if not r["toxic"] and r["found"]]
     if top:
         final.ln_k = float(np.mean([final.lam * m - math.log(n) for m, n in top])) - _EULER
-    x, y = [], []
-    for r in got:
-        z = [final.lam * v - final.ln_k - math.log(max(r["n"], 1)) for v in r["found"]]
-        x.append((min(max(max(z, default=LOW), LOW), HIGH), min(sum(v for v in z if v > 0), HIGH)))
-        y.append(r["toxic"])
+    # the curve's features, as scoring has them: all significant segments under the final calibration
+    lam, ln_k = final.lam, final.ln_k
+
+    def features(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(shared.value, lam, ln_k)
+        for b in it:
+            z = [model.statistics(t)[:2] for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array([v[0] for v in z], pa.float64()), pa.array([v[1] for v in z], pa.float64())], ["toxic", "best", "total"])
+
+    seen = aside.mapInArrow(features, "toxic int, best double, total double").collect()  # at most fit_rows rows
+    x, y = [(r["best"], r["total"]) for r in seen], [r["toxic"] for r in seen]
     if len(set(y)) == 2:
         final.curve = _curve(np.array(x, float), np.array(y, float))
     return final

@@ -162,6 +162,23 @@ def test_repeats_take_linear_time():
         assert toxicity.passages(words, model.scores(words))
 
 
+def test_curve_sees_all_segments(spark, monkeypatch):
+    """The curve is fitted on the features that scoring has, also of texts with many segments."""
+    rng = random.Random(9)
+    seen = []
+    monkeypatch.setattr(toxicity, "_curve", lambda x, y: seen.append(x) or (0.0, 0.0, 0.0))
+    texts = []
+    for i in range(120):
+        w = [f"w{rng.choice('abcdefgh') * 3}{rng.choice('abcdefgh')}" for _ in range(700)]
+        for k in range(20, 692, 24) if i % 3 == 0 else ():
+            w[k] = "zorkly"
+        texts.append(" ".join(w))
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(len(texts))], "doc_id long, quality int, toxic int")
+    toxicity.fit(docs_of(spark, texts), labels)
+    bad = seen[0][seen[0][:, 1] > 0]
+    assert len(bad) and (bad[:, 1] >= np.minimum(27.9 * bad[:, 0], toxicity.HIGH)).all()  # 28 passages each
+
+
 def test_toxicity_without_labels(spark):
     df = docs_of(spark, ODD)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
