@@ -20,6 +20,8 @@ from loomread.plans.storage import shared_path, written
 FILTER_BITS = 1 << 27
 #: Rows handed to a Python worker in one Arrow batch. Texts may be long, so a batch stays small.
 ARROW_ROWS = 512
+#: Most keys that are joined by broadcast because many rows have them.
+HOT_SHARE = 10_000
 _LOCK = threading.Lock()
 
 
@@ -72,6 +74,19 @@ def size_checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def spread_join(rows: DataFrame, keyed: DataFrame, keys: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined (``inner`` or ``left``) to ``keyed``, which has one row for each of ``keys``, without a hot task.
+
+    ``weight`` is the column that says how many of the ``total`` rows have the key. Keys with at least 1 / ``HOT_SHARE``
+    of all rows, of which there can be ``HOT_SHARE``, are broadcast; the others are joined as they come.
+    """
+    least = max(2, -(-total // HOT_SHARE))
+    hot = F.broadcast(keyed.where(F.col(weight) >= least).orderBy(F.desc(weight), *keys).limit(HOT_SHARE))
+    names = F.broadcast(hot.select(*keys))
+    cold = keyed.join(names, keys, "left_anti")
+    return rows.join(hot, keys).unionByName(rows.join(names, keys, "left_anti").join(cold, keys, how))
+
+
 def _row_filter(marked: DataFrame, rows: int) -> tuple[np.ndarray, int]:
     """A bit array with a bit for each row key of ``marked``: 16 bits for each of ``rows``, ``FILTER_BITS`` at most."""
     bits = 1 << min(FILTER_BITS.bit_length() - 1, max(16, (16 * rows).bit_length()))
@@ -117,4 +132,4 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-__all__ = ["delete_shared", "only_rows", "prepare", "shared_path", "size_checked_broadcast", "table", "text_of", "with_row_key", "without_rows", "written"]
+__all__ = ["delete_shared", "only_rows", "prepare", "shared_path", "size_checked_broadcast", "spread_join", "table", "text_of", "with_row_key", "without_rows", "written"]

@@ -304,10 +304,44 @@ def test_suffix_dedup(spark):
         assert bytes(r.kept) == hashlib.sha256(kept).digest()
 
 
+def suffix_rows(df):
+    return Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove_repeats(df).collect())
+
+
+def brute_rows(rows):
+    return Counter((i, *x[:2], len(x[2]), hashlib.sha256(x[3]).digest()) for (i, *_), x in zip(rows, brute_removal([(t or "").encode() for _, t, _ in rows]), strict=True))
+
+
+def test_suffix_dedup_of_heavy_anchors(spark, monkeypatch):
+    """Suffixes of anchors with many occurrences take another way to the same result."""
+    monkeypatch.setattr(suffix_dedup, "HEAVY", 3)
+    rows = corpus(5)
+    assert suffix_rows(docs_of(spark, rows)) == brute_rows(rows)
+
+
+def test_suffix_dedup_of_regular_texts(spark):
+    """Texts on which sums of powers collide, periodic ones, and one of several strips."""
+    morse = "".join("ab"[i.bit_count() % 2] for i in range(4096))
+    rng = random.Random(3)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(2 * suffix_dedup.STRIP + 77))
+    texts = [morse, morse.translate(str.maketrans("ab", "ba")), morse[5:2000], "abc" * 500, "bca" * 400 + "x", "q" * 3000, long, long[suffix_dedup.STRIP - 300 : suffix_dedup.STRIP + 300], "y" + long[-450:], "y" + long[:399]]
+    rows = [(i, t, "s") for i, t in enumerate(texts)]
+    assert suffix_rows(docs_of(spark, rows)) == brute_rows(rows)
+
+
+def test_repeated_suffixes_of_a_bucket():
+    rng = random.Random(4)
+    for _ in range(20):
+        own = ["".join(rng.choice("ab") for _ in range(rng.choice((1, 2, 5, 60)))) * 900 for _ in range(3)]
+        texts = [rng.choice(own)[rng.randrange(50) :][: rng.randrange(400, 900)].encode() for _ in range(6)]
+        seen = Counter(t[i : i + 400] for t in texts for i in range(len(t) - 399))
+        for t, hit in zip(texts, suffix_dedup.repeated(texts), strict=True):
+            assert hit.tolist() == [seen[t[i : i + 400]] > 1 for i in range(len(t) - 399)]
+
+
 def test_suffix_dedup_of_corpus(case):
     rows, df = case
-    want = Counter((i, *x[:2], len(x[2]), hashlib.sha256(x[3]).digest()) for (i, *_), x in zip(rows, brute_removal([(t or "").encode() for _, t, _ in rows]), strict=True))
-    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove_repeats(df).collect()) == want
+    assert suffix_rows(df) == brute_rows(rows)
 
 
 # ---- LM scores
