@@ -104,9 +104,8 @@ def fq_filter_invalid_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _records(counting.split_invalid_reads(_reads(spark, sf_dir)).rejected)
 
 
-_PAIRS_SQL = READS_SQL + """, a AS (SELECT rec_idx, barcode FROM reads WHERE file_idx = 0), b AS (SELECT rec_idx, barcode FROM reads WHERE file_idx = 1),
-z AS (SELECT a.barcode AS b1, b.barcode AS b2 FROM a FULL JOIN b USING (rec_idx)),
-cnt AS (SELECT barcode, count(*)::BIGINT AS count FROM (SELECT b1 AS barcode FROM z WHERE b1 IS NOT NULL UNION ALL SELECT b2 FROM z WHERE b2 IS NOT NULL AND b2 IS DISTINCT FROM b1) GROUP BY barcode)
+# each CTE once: a barcode's observations are its distinct record places, whichever file they are in
+_PAIRS_SQL = READS_SQL.replace("li AS (", "li AS MATERIALIZED (").replace("reads AS (", "reads AS MATERIALIZED (") + """, cnt AS MATERIALIZED (SELECT barcode, count(*)::BIGINT AS count FROM (SELECT rec_idx, barcode FROM reads GROUP BY rec_idx, barcode) GROUP BY barcode)
 """
 
 
@@ -210,6 +209,42 @@ def fq_standardize_style(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recoding.standardize_reads(_reads(spark, sf_dir), B.HAPLOTAGGING).rows.select("file_idx", "rec_idx", "id", "rest")
 
 
+_BASE_SQL = READS_SQL.replace("reads AS (", "base AS (")
+_TELLSEQ_SQL = _BASE_SQL + f""", tell AS (SELECT file_idx, rec_idx, designation, seq, qual, CASE WHEN rec_idx % 31 = 0 THEN '' WHEN rec_idx % 700 % 9 = 0 THEN 'N' || substr(code, 2) ELSE code END AS own
+  FROM (SELECT *, translate(substr(md5('tq' || (rec_idx % 700)), 1, 18), {_BASES}) AS code FROM base)),
+reads AS (SELECT file_idx, rec_idx, 't' || rec_idx AS id, designation, seq, qual, CASE WHEN own = '' THEN '{B.INVALID[B.TELLSEQ]}' ELSE own END AS barcode, own <> '' AND own NOT LIKE '%N%' AS valid FROM tell)
+"""
+_HAPLOTAGGING_SQL = _BASE_SQL + """, code AS (SELECT *, concat('A', lpad((rec_idx % 7 + 1)::VARCHAR, 2, '0'), 'C', lpad((rec_idx % 5 + 1)::VARCHAR, 2, '0'), 'B', lpad((rec_idx % 11 + 1)::VARCHAR, 2, '0'), 'D', lpad((rec_idx % 13)::VARCHAR, 2, '0')) AS own FROM base),
+reads AS (SELECT file_idx, rec_idx, 'h' || rec_idx AS id, designation, seq, qual, CASE WHEN rec_idx % 29 = 0 THEN 'A00C00B00D00' ELSE own END AS barcode, rec_idx % 29 <> 0 AND rec_idx % 13 <> 0 AS valid FROM code)
+"""
+
+
+@_query("fq_standardize_from_tellseq", _TELLSEQ_SQL + "SELECT file_idx, rec_idx, id || '/' || (file_idx + 1) AS id, 'VX:i:' || valid::INT || chr(9) || 'BX:Z:' || barcode AS rest FROM reads")
+def fq_standardize_from_tellseq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recoding.standardize_reads(R.parse(adapters.tellseq_reads(spark, sf_dir), B.TELLSEQ)).rows.select("file_idx", "rec_idx", "id", "rest")
+
+
+@_query("fq_convert_from_tellseq", _TELLSEQ_SQL + _map_sql("reads", B.STLFR, "rec_idx * 2 + file_idx") + f"SELECT file_idx, rec_idx, {_RENDERED[B.STLFR]} FROM reads JOIN mp USING (barcode)")
+def fq_convert_from_tellseq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recoding.convert(R.parse(adapters.tellseq_reads(spark, sf_dir), B.TELLSEQ), B.TELLSEQ, B.STLFR).rows.select("file_idx", "rec_idx", "id", "rest", "seq", "qual")
+
+
+@_query("fq_convert_from_haplotagging", _HAPLOTAGGING_SQL + _map_sql("reads", B.TELLSEQ, "rec_idx * 2 + file_idx") + "SELECT file_idx, rec_idx, id || ':' || new_barcode || ' ' || designation AS id, 'RX:Z:x' AS rest, seq, qual FROM reads JOIN mp USING (barcode)")
+def fq_convert_from_haplotagging(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recoding.convert(R.parse(adapters.haplotagging_reads(spark, sf_dir), B.HAPLOTAGGING), B.HAPLOTAGGING, B.TELLSEQ).rows.select("file_idx", "rec_idx", "id", "rest", "seq", "qual")
+
+
+@_query("fq_standardize_from_standard", _HAPLOTAGGING_SQL.replace("rec_idx % 29 <> 0 AND rec_idx % 13 <> 0 AS valid", "rec_idx % 29 <> 0 AND rec_idx % 13 <> 0 AS valid, 'RX:Z:x' AS more") + "SELECT file_idx, rec_idx, barcode, valid, id || '/' || (file_idx + 1) AS id, more || chr(9) || 'VX:i:' || valid::INT || chr(9) || 'BX:Z:' || barcode AS rest FROM reads")
+def fq_standardize_from_standard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recoding.standardize_reads(R.parse(adapters.haplotagging_reads(spark, sf_dir), B.STANDARD)).rows.select("file_idx", "rec_idx", "barcode", "valid", "id", "rest")
+
+
+@_query("fq_literal_barcode", READS_SQL + "SELECT file_idx, rec_idx, 'r' || rec_idx || '/' || (file_idx + 1) AS id, 'VX:i:1' || chr(9) || 'BX:Z:A01C02B03D04' AS rest FROM reads")
+def fq_literal_barcode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads that take a barcode given from outside, whatever stands in their names."""
+    return R.render(R.with_barcode(_reads(spark, sf_dir), F.lit("A01C02B03D04")), B.STANDARD).select("file_idx", "rec_idx", "id", "rest")
+
+
 # ---- reads: detection, order, pairs, exchange
 
 
@@ -328,6 +363,25 @@ def sam_filter_singletons_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counting.split_singleton_alignments(_alns(spark, sf_dir)).rejected.select("rec_idx", "barcode")
 
 
+def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignments with other barcodes, of which many stand on few records."""
+    code = F.concat(F.lit("A01C"), F.lpad((F.col("event_id") % 4000 % 90 + 1).cast("string"), 2, "0"), F.lit("B"), F.lpad((F.floor(F.col("event_id") % 4000 / 90) + 1).cast("string"), 2, "0"), F.lit("D01"))
+    return _alns(spark, sf_dir).withColumn("bx", code)
+
+
+_SPARSE_SQL = ALNS_SQL + ", sp AS (SELECT rec_idx, concat('A01C', lpad((event_id % 4000 % 90 + 1)::VARCHAR, 2, '0'), 'B', lpad((event_id % 4000 // 90 + 1)::VARCHAR, 2, '0'), 'D01') AS barcode FROM alns), v AS (SELECT *, count(*) OVER (PARTITION BY barcode) AS n FROM sp) SELECT rec_idx, barcode FROM v WHERE n "
+
+
+@_query("sam_filter_singletons_sparse", _SPARSE_SQL + "> 2")
+def sam_filter_singletons_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counting.split_singleton_alignments(_sparse(spark, sf_dir)).kept.select("rec_idx", "barcode")
+
+
+@_query("sam_filter_singletons_sparse_out", _SPARSE_SQL + "<= 2")
+def sam_filter_singletons_sparse_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counting.split_singleton_alignments(_sparse(spark, sf_dir)).rejected.select("rec_idx", "barcode")
+
+
 @_query(
     "sam_sample",
     ALNS_SQL + """, pool AS (SELECT DISTINCT bx AS barcode FROM alns WHERE valid), k AS (SELECT barcode, row_number() OVER (ORDER BY md5('3:' || barcode), barcode) AS n FROM pool),
@@ -375,6 +429,18 @@ def sam_assign_mi_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return molecules.assign_molecules(_alns(spark, sf_dir), B.HAPLOTAGGING, CUTOFF).select("rec_idx", "bx", "mi")
 
 
+@_query(
+    "sam_assign_mi_deconvolved",
+    ALNS_SQL + """, part AS (SELECT *, CASE WHEN is_unmapped THEN 'drop' WHEN bx IS NULL THEN 'missing' WHEN NOT valid THEN 'invalid' ELSE 'molecule' END AS part, bx || '-' || (event_id % 2 + 1) AS dx FROM alns),
+nums AS (SELECT rname, dx, row_number() OVER (ORDER BY min(rec_idx)) AS mi FROM part WHERE part = 'molecule' GROUP BY rname, dx)
+SELECT rec_idx, CASE WHEN part = 'missing' THEN 'A00C00B00D00' ELSE bx END AS bx, mi, CASE WHEN part = 'molecule' THEN part.dx END AS dx FROM part LEFT JOIN nums ON part = 'molecule' AND part.rname = nums.rname AND part.dx = nums.dx WHERE part <> 'drop'""",
+)
+def sam_assign_mi_deconvolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Barcodes with a suffix after ``-``: molecules by the whole barcode, which goes to DX."""
+    rows = _alns(spark, sf_dir).withColumn("bx", F.concat(F.col("bx"), F.lit("-"), (F.col("event_id") % 2 + 1).cast("string")))
+    return molecules.assign_molecules(rows, B.HAPLOTAGGING).select("rec_idx", "bx", "mi", "dx")
+
+
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The alignments as three files, places counted in each; every second record has a molecule already."""
     rows = _alns(spark, sf_dir)

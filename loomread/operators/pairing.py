@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomread.functions import barcodes as B
 from loomread.functions import reads as R
+from loomread.plans.joins import sized
 from loomread.plans.ordinals import with_ordinal, with_runs
 from loomread.plans.storage import written
 
@@ -33,12 +34,14 @@ def spoof_pairs(parsed: DataFrame, max_pairs: int = 1, singletons: bool = False,
     runs = with_runs(keys.where("good").select("rec_idx", "barcode"), "barcode", "rec_idx").select("rec_idx", "run")
     mark = F.md5(F.concat(F.lit(f"{seed}:"), F.col("rec_idx").cast("string")))
     placed = with_ordinal(runs.withColumn("mark", mark), ["run", "mark", "rec_idx"], "at")
+    placed = written(placed.drop("mark"), "pair-places")
     sizes = placed.groupBy("run").agg(F.count("*").alias("n"), F.min("at").alias("begin"))
-    placed = placed.join(sizes, "run").withColumn("place", F.col("at") - F.col("begin"))
+    placed = placed.join(sized(sizes), "run")
     several = placed.where("n > 1").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(max_pairs), "n") - 1)))
-    start = F.when(F.lit(max_pairs) == 1, 1).otherwise(F.pmod(F.conv(F.substring("mark", 1, 12), 16, 10).cast("long"), F.col("n")))
-    links = several.select("rec_idx", "run", "k", F.pmod(F.col("place") + start + F.col("k"), F.col("n")).alias("place"))
-    links = links.join(placed.select("run", "place", F.col("rec_idx").alias("mate_idx")), ["run", "place"]).select("rec_idx", "mate_idx", "k", F.lit(True).alias("new"))
+    start = F.when(F.lit(max_pairs) == 1, 1).otherwise(F.pmod(F.conv(F.substring(mark, 1, 12), 16, 10).cast("long"), F.col("n")))
+    # the mate's place in the whole order: a key that no two reads share, whatever the runs' sizes
+    links = several.select("rec_idx", "k", (F.col("begin") + F.pmod(F.col("at") - F.col("begin") + start + F.col("k"), F.col("n"))).alias("at"))
+    links = links.join(placed.select("at", F.col("rec_idx").alias("mate_idx")), "at").select("rec_idx", "mate_idx", "k", F.lit(True).alias("new"))
     alike = lambda rows: rows.select("rec_idx", F.col("rec_idx").alias("mate_idx"), F.lit(0).cast("long").alias("k"), F.lit(False).alias("new"))
     if singletons:
         links = links.unionByName(alike(placed.where("n = 1")))

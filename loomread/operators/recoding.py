@@ -11,12 +11,10 @@ from loomread.errors import CapacityError, LinkedReadError
 from loomread.functions import alignments as A
 from loomread.functions import barcodes as B
 from loomread.functions import reads as R
+from loomread.plans.joins import looked_up, sized
 from loomread.plans.ordinals import with_ordinal
 from loomread.plans.storage import written
 
-#: Barcode lists up to so many rows (of at most 60 bases) are broadcast.
-BROADCAST_WHITELIST = 500_000
-
 
 @dataclass(frozen=True)
 class Recoded:
@@ -36,6 +34,12 @@ def dictionary(rows: DataFrame, style: str, pos: Column, key: str = "barcode") -
     return numbered.unionByName(first.where(~F.col("valid")).withColumn("new_barcode", F.lit(B.INVALID[style]))).select("barcode", "new_barcode", "valid", "pos")
 
 
+def _with_new(rows: DataFrame, mapping: DataFrame, style: str) -> DataFrame:
+    """``rows`` with ``new_barcode``. Invalid rows, which may be many and share one barcode, get the style's invalid
+    value in place; only valid ones are joined to the dictionary."""
+    return looked_up(rows, mapping.where("valid").select("barcode", "new_barcode"), "barcode", F.col("valid"), {"new_barcode": F.lit(B.INVALID[style])})
+
+
 def check_capacity(mapping: DataFrame, style: str) -> None:
     """An error before any output if the style has too few barcodes."""
     n = mapping.where("valid").count()
@@ -48,9 +52,8 @@ def pair_10x(parsed: DataFrame, whitelist: DataFrame, length: int) -> DataFrame:
     (``barcode``). A reverse read without a mate has ``N`` for each base."""
     mates = parsed.where("forward").select("rec_idx", F.col("barcode").alias("mate_barcode"))
     out = parsed.join(mates, "rec_idx", "left").withColumn("barcode", F.coalesce("barcode", "mate_barcode", F.lit("N" * length))).drop("mate_barcode")
-    few = whitelist.limit(BROADCAST_WHITELIST + 1).count() <= BROADCAST_WHITELIST
     listed = whitelist.select(F.col("barcode"), F.lit(True).alias("listed")).distinct()
-    return out.join(F.broadcast(listed) if few else listed, "barcode", "left").withColumn("valid", F.coalesce("listed", F.lit(False))).drop("listed")
+    return out.join(sized(listed), "barcode", "left").withColumn("valid", F.coalesce("listed", F.lit(False))).drop("listed")
 
 
 def convert(parsed: DataFrame, source: str, target: str) -> Recoded:
@@ -58,8 +61,7 @@ def convert(parsed: DataFrame, source: str, target: str) -> Recoded:
     if source == target:
         raise LinkedReadError(f"the barcodes are {source} already")
     mapping = dictionary(parsed, target, F.struct("rec_idx", "file_idx"))
-    rows = parsed.join(mapping.select("barcode", "new_barcode"), "barcode")
-    return Recoded(R.render(rows, target, F.col("new_barcode")), mapping)
+    return Recoded(R.render(_with_new(parsed, mapping, target), target, F.col("new_barcode")), mapping)
 
 
 def standardize_reads(parsed: DataFrame, style: str | None = None) -> Recoded:
@@ -68,8 +70,7 @@ def standardize_reads(parsed: DataFrame, style: str | None = None) -> Recoded:
     if style is None:
         return Recoded(R.render(parsed, B.STANDARD), parsed.select("barcode", F.col("barcode").alias("new_barcode"), "valid", F.struct("file_idx", "rec_idx").alias("pos")).limit(0))
     mapping = dictionary(parsed, style, F.struct("file_idx", "rec_idx"))
-    rows = parsed.join(mapping.select("barcode", "new_barcode"), "barcode")
-    return Recoded(R.render(rows, B.STANDARD, F.col("new_barcode")), mapping)
+    return Recoded(R.render(_with_new(parsed, mapping, style), B.STANDARD, F.col("new_barcode")), mapping)
 
 
 def standardize_alignments(alns: DataFrame, style: str | None = None) -> Recoded:
@@ -84,7 +85,7 @@ def standardize_alignments(alns: DataFrame, style: str | None = None) -> Recoded
     rows = rows.withColumn("valid", F.coalesce(F.col("new_vx") == 1, F.lit(False)))
     if style is not None:
         mapping = dictionary(rows.where(F.col("barcode").isNotNull()), style, F.col("rec_idx"))
-        rows = rows.join(mapping.select("barcode", "new_barcode"), "barcode", "left")
+        rows = _with_new(rows, mapping, style).withColumn("new_barcode", F.when(F.col("barcode").isNotNull(), F.col("new_barcode")))
         same = F.lit(False)
     else:
         mapping = rows.select("barcode", F.col("barcode").alias("new_barcode"), "valid", F.col("rec_idx").alias("pos")).limit(0)

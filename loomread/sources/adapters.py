@@ -68,6 +68,34 @@ def tenx_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _once("tenx_reads", spark, sf_dir, make)
 
 
+def tellseq_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paired tellseq reads with one of 700 barcodes in the name; some have an N, some names end before the barcode."""
+
+    def make() -> DataFrame:
+        rows = lineitem_reads(spark, sf_dir).select("file_idx", "rec_idx", "comment", "seq", "qual")
+        n = F.col("rec_idx") % 700
+        code = F.translate(F.substring(F.md5(F.concat(F.lit("tq"), n.cast("string"))), 1, 18), "0123456789abcdef", "ACGTACGTACGTACGT")
+        code = F.when(F.col("rec_idx") % 31 == 0, "").when(n % 9 == 0, F.concat(F.lit("N"), F.substring(code, 2, 17))).otherwise(code)
+        return rows.select("file_idx", "rec_idx", F.concat(F.lit("t"), F.col("rec_idx").cast("string"), F.lit(":"), code).alias("name"), "comment", "seq", "qual")
+
+    return _once("tellseq_reads", spark, sf_dir, make)
+
+
+def haplotagging_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paired haplotagging reads: direction at the name's end, the barcode in the comment after another tag; some have
+    a zero segment, some no barcode."""
+
+    def make() -> DataFrame:
+        rows = lineitem_reads(spark, sf_dir).select("file_idx", "rec_idx", "seq", "qual")
+        two = lambda x: F.lpad(x.cast("string"), 2, "0")
+        k = F.col("rec_idx")
+        code = F.concat(F.lit("A"), two(k % 7 + 1), F.lit("C"), two(k % 5 + 1), F.lit("B"), two(k % 11 + 1), F.lit("D"), two(k % 13))
+        comment = F.concat(F.lit("RX:Z:x"), F.when(k % 29 == 0, "").otherwise(F.concat(F.lit(" BX:Z:"), code)))
+        return rows.select("file_idx", "rec_idx", F.concat(F.lit("h"), k.cast("string"), F.lit("/"), (F.col("file_idx") + 1).cast("string")).alias("name"), comment.alias("comment"), "seq", "qual")
+
+    return _once("haplotagging_reads", spark, sf_dir, make)
+
+
 def whitelist(spark: SparkSession) -> DataFrame:
     """``barcode``: 400 of the 500 barcodes of :func:`tenx_reads`."""
     return spark.range(400).select(F.translate(F.substring(F.md5(F.concat(F.lit("bc"), F.col("id").cast("string"))), 1, 16), "0123456789abcdef", "ACGTACGTACGTACGT").alias("barcode"))
