@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomread.plans.joins import BROADCAST_ROWS, sized
 from loomread.plans.storage import shared_path, written
 
 #: Most bits of a broadcast filter on row keys (16 MB).
@@ -55,23 +56,35 @@ def delete_shared(spark: SparkSession, df: DataFrame) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def _read_once(df: DataFrame) -> bool:
+    """Whether ``df`` takes rows, as they are or fewer, from one scan that reads each file once."""
+    plan = df._jdf.queryExecution().analyzed()
+    if not plan.deterministic():
+        return False
+    while plan.children().size() == 1 and plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    kind = lambda x: x.getClass().getSimpleName()
+    if plan.nodeName() != "LogicalRelation" or kind(plan.relation()) != "HadoopFsRelation" or kind(plan.relation().location()) != "InMemoryFileIndex":
+        return False
+    files = plan.relation().location().allFiles()
+    return files.distinct().size() == files.size()
+
+
 def with_row_key(df: DataFrame) -> DataFrame:
     """Add ``__lr_f, __lr_i``: an identity of each row that survives recomputation, also when ``doc_id`` repeats or is null.
 
-    It is the row's file and place there; a frame that isn't read from files is written to the shared folder first.
+    It is the row's file and place there. A frame that isn't a plain read of files, or that reads one of them more than
+    once, is written to the shared folder first. Columns of these names are replaced.
     """
-    key = [F.xxhash64("_metadata.file_path").alias("__lr_f"), F.col("_metadata.row_index").alias("__lr_i")]
-    try:
-        return df.select("*", *key)
-    except Exception as e:
-        if "UNRESOLVED_COLUMN" not in str(e) and "FIELD_NOT_FOUND" not in str(e):
-            raise
-    return written(df, "rows").select("*", *key)
+    df = df.drop("__lr_f", "__lr_i")
+    if not _read_once(df):
+        df = written(df, "rows")
+    return df.select("*", F.xxhash64("_metadata.file_path").alias("__lr_f"), F.col("_metadata.row_index").alias("__lr_i"))
 
 
-def size_checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
+def size_checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``broadcast(df)`` if it has at most ``max_rows`` rows (counted, at most that many + 1), else ``df`` as it is."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    return sized(df, max_rows)
 
 
 def spread_join(rows: DataFrame, keyed: DataFrame, keys: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:

@@ -19,10 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomread.llm.common import shared_path, with_row_key, without_rows, written
-
-#: Digests with at least 1 / HOT_SHARE of all rows are joined by broadcast; there can be HOT_SHARE of them at most.
-HOT_SHARE = 10_000
+from loomread.llm.common import shared_path, spread_join, with_row_key, without_rows, written
 
 
 def _digests(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,12 +79,11 @@ def decide_keyed(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame
     index = index or DigestIndex(spark)
     rows = written(digest_rows(docs), "digest-rows")
     groups = rows.groupBy("digest").agg(F.max(F.struct("doc_id", "__lr_f", "__lr_i")).alias("k"), F.count("*").alias("group_size"))
-    groups = groups.select("digest", F.col("k.doc_id").alias("keep_id"), F.col("k.__lr_f").alias("keep_rf"), F.col("k.__lr_i").alias("keep_ri"), "group_size")
+    groups = written(groups.select("digest", F.col("k.doc_id").alias("keep_id"), F.col("k.__lr_f").alias("keep_rf"), F.col("k.__lr_i").alias("keep_ri"), "group_size"), "digest-groups")
     index.admit(groups)
-    least = max(2, -(-rows.count() // HOT_SHARE))
-    hot = F.broadcast(index.rows().where(F.col("group_size") >= least).orderBy(F.desc("group_size"), "digest").limit(HOT_SHARE))
-    cold = index.rows().join(hot.select("digest"), "digest", "left_anti")
-    joined = rows.join(hot, "digest").unionByName(rows.join(hot.select("digest"), "digest", "left_anti").join(cold, "digest"))
+    # which digests many rows have is this batch's matter: the index may hold them from a single row
+    held = groups.select("digest", F.col("group_size").alias("here")).join(index.rows().hint("merge"), "digest")
+    joined = spread_join(rows, written(held, "digest-held"), ["digest"], "here", rows.count())
     stays = (F.col("keep_rf") == F.col("__lr_f")) & (F.col("keep_ri") == F.col("__lr_i"))
     return joined.select("doc_id", "__lr_f", "__lr_i", "digest", "keep_id", "group_size", stays.alias("kept"))
 

@@ -1,6 +1,6 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling, in DataFrame operations only.
 
-A row's key is ``-ln(u) / w`` with a seeded uniform ``u`` of its id and its quality weight ``w``; a source's rows are
+A row's key is ``-ln(u) / w`` with a seeded uniform ``u`` of its id and text and its quality weight ``w``; a source's rows are
 taken in the order of their keys until their running sum of words reaches the source's target. Targets above the
 source's size take complete epochs first; the rest of the target is the fractional selection, and the row at which it
 ends counts in part, so that a source's words meet the target.
@@ -9,8 +9,9 @@ The running sum isn't a window over a whole source: keys are dealt into about sq
 say in which one bin of each source the budget ends, and only that bin's rows are sorted. A source of any share is so
 spread over all tasks.
 
-Defined results: a null or empty text has size 0 and is taken 0 times; a null source is a source, the last one; rows
-that repeat an id and text have the same key and follow each other; an empty table gives an empty result; other columns
+Defined results: a null or empty text has size 0 and is taken 0 times; a null source is a source, the last one; rows of
+one id, or without one, are told apart by their texts; rows that repeat an id and text have the same key, follow each
+other, and are alike in all that a result has of them; an empty table gives an empty result; other columns
 are ignored.
 """
 
@@ -42,9 +43,9 @@ def quality_weight(size: Column, chars: Column) -> Column:
     return F.when((chars >= 3 * size) & (chars <= 12 * size) & (size > 0), 1.0).otherwise(0.5)
 
 
-def uniform(doc_id: Column, seed: str) -> Column:
-    """A number in (0, 1) from 52 bits of a digest of the id."""
-    bits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 13), 16, 10)
+def uniform(doc_id: Column, digest: Column, seed: str) -> Column:
+    """A number in (0, 1) from 52 bits of a digest of the id and the text's digest."""
+    bits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), digest)), 1, 13), 16, 10)
     return (bits.cast("double") + F.lit(0.5)) / F.lit(2.0**52)
 
 
@@ -70,14 +71,14 @@ def source_targets(sized: DataFrame, share: float = SHARE, weights: tuple[int, .
 
 
 def _sized(docs: DataFrame, seed: str, *more: Column) -> DataFrame:
-    """``doc_id, source, size, key`` of each row, and ``more``."""
+    """``doc_id, source, size, digest, key`` of each row, and ``more``."""
     size, chars = words(text_of()), F.length(text_of())
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), chars.alias("chars"), *more)
-    return rows.withColumn("key", -F.log(uniform(F.col("doc_id"), seed)) / quality_weight(F.col("size"), F.col("chars"))).drop("chars")
+    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), chars.alias("chars"), F.md5(text_of()).alias("digest"), *more)
+    return rows.withColumn("key", -F.log(uniform(F.col("doc_id"), F.col("digest"), seed)) / quality_weight(F.col("size"), F.col("chars"))).drop("chars")
 
 
 def _taken(rows: DataFrame, ends: DataFrame, bins: int) -> DataFrame:
-    """``rows`` (``doc_id, source, size, key`` and more) with ``source_size, target, taken``.
+    """``rows`` (``doc_id, source, size, digest, key`` and more) with ``source_size, target, taken``.
 
     Only rows of the bins in which the budgets end are shuffled.
     """
@@ -85,7 +86,7 @@ def _taken(rows: DataFrame, ends: DataFrame, bins: int) -> DataFrame:
     end_bin = F.coalesce("end_bin", F.lit(-1))  # none where the budget is 0: nothing is taken beyond the epochs
     epochs = F.col("epochs") * F.col("size")
     whole = found.where(F.col("bin") != end_bin).withColumn("taken", epochs + F.when(F.col("bin") < end_bin, F.col("size")).otherwise(0))
-    order = Window.partitionBy("source").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("source").orderBy("key", "doc_id", "digest").rowsBetween(Window.unboundedPreceding, -1)
     first = F.col("end_before") + F.coalesce(F.sum("size").over(order), F.lit(0))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("budget") - first))
     ended = found.where(F.col("bin") == end_bin).withColumn("taken", epochs + part)
@@ -119,17 +120,10 @@ def mix(docs: DataFrame, share: float = SHARE, weights: tuple[int, ...] = WEIGHT
 
 
 def mixed(docs: DataFrame, share: float = SHARE, weights: tuple[int, ...] = WEIGHTS, seed: str = SEED) -> DataFrame:
-    """The mix itself: a row for each whole time that a row of ``docs`` is taken, and one with the first words of the row
-    at which a source's budget ends. ``n_chars``, if there is such a column, is that of the row's text."""
+    """The mix itself: a row for each time that a row of ``docs`` is taken. Texts stay whole: the row at which a source's
+    budget ends is taken once more if half of its words or more belong to the mix."""
     plan = _plan(written(_sized(docs, seed), "mix-sizes"), share, weights)
-    rows = _taken(_sized(docs, seed, F.struct(*docs.columns).alias("row")), *plan)
-    text = text_of("row.text")
-    starts_blank = F.when(text.rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
-    parts = F.split(text, r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
-    rest = (F.col("taken") % F.col("size")).cast("int")
-    first = F.regexp_replace(F.array_join(F.slice(parts, F.lit(1), rest + starts_blank), ""), r"[\x20\x09-\x0D]+$", "")
-    whole = F.array_repeat(text, F.floor(F.col("taken") / F.col("size")).cast("int"))
-    texts = F.when(rest > 0, F.concat(whole, F.array(first))).otherwise(whole)
-    out = rows.where("taken > 0").select("row", F.explode(texts).alias("taken_text"))
-    own = {"text": F.col("taken_text"), "n_chars": F.length("taken_text").cast("long")}
-    return out.select(*[(own.get(c, F.col(f"row.{c}"))).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+    rows = _taken(_sized(docs, seed, F.struct(*docs.columns).alias("__row")), *plan)
+    times = F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))).cast("int")
+    out = rows.where("taken > 0").select("__row", F.explode(F.array_repeat(F.lit(0), times)).alias("__time"))
+    return out.select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns])

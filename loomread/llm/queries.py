@@ -60,8 +60,8 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP7_SQL = r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, length(coalesce(text, '')) AS chars FROM documents),
-k AS (SELECT *, -ln((('0x' || substr(md5('mix-7:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE)
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, length(coalesce(text, '')) AS chars, md5(coalesce(text, '')) AS digest FROM documents),
+k AS (SELECT *, -ln((('0x' || substr(md5('mix-7:' || coalesce(doc_id::VARCHAR, '') || ':' || digest), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE)
         / CASE WHEN chars >= 3 * size AND chars <= 12 * size AND size > 0 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS key FROM d),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, ([3, 1, 2])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight, source_size * 2.0::DOUBLE AS cap FROM s),
@@ -72,7 +72,7 @@ t AS (SELECT source, source_size, least(cap, weight * coalesce(max(level) FILTER
 e AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 2) ELSE 0 END::BIGINT AS epochs FROM t),
 b AS (SELECT *, CASE WHEN epochs >= 2 THEN 0 ELSE round(target - epochs * source_size) END::BIGINT AS budget FROM e)
 SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, budget - coalesce(sum(size)
-    OVER (PARTITION BY k.source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))))::BIGINT AS taken
+    OVER (PARTITION BY k.source ORDER BY key, doc_id, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))))::BIGINT AS taken
 FROM k JOIN b ON k.source IS NOT DISTINCT FROM b.source
 """
 

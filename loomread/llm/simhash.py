@@ -5,10 +5,14 @@ the Manhattan distance of two points is at most the number of differing bits. Th
 bits sorted, so that the distance is the number of differing bits of two such words. The grid's axes are dealt into G
 groups; points within distance D agree in at least G - D groups entirely, so points are joined on their coordinates in
 each choice of G - D groups (a range join whose range is a cell). In a cell the Manhattan distance is tested, then the
-fingerprints themselves. Only distinct fingerprints are joined, and a cell gives a forest of links, not all pairs.
+fingerprints themselves. Only distinct fingerprints are joined, and a large cell gives a forest of links, not all pairs.
 
 Cells with over ``SPLIT`` points are cut into blocks, and each pair of blocks is a cell of its own.
 
+:func:`drop_similar` takes the same join for texts that are similar by their sets of shingles of five words: Jaccard 0.8
+or more. A fingerprint of 64 bits tells that only roughly, so there are ``PRINTS`` of them over the same shingles, a pair
+is looked at if one of them differs in ``SIMILAR_APART`` bits or fewer, and each link is verified on the whole sets.
+
 Defined results: null and empty texts have fingerprint 0, which links like any other; repeated rows and ids share a
 component; an empty table gives an empty result; null ids never are a ``component_id`` unless all of it are null; other
 columns are ignored.
@@ -25,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomread.llm.common import size_checked_broadcast, with_row_key, without_rows, written
+from loomread.llm.common import only_rows, size_checked_broadcast, spread_join, with_row_key, without_rows, written
 from loomread.llm.components import components
 
 BITS_APART = 4
@@ -37,6 +41,12 @@ SPLIT = 50_000
 GROUPS = ((4_000_000, 2), (1_000_000_000, 4), (1 << 62, 6))  # up to so many: bits apart + ...
 _EVEN = 0x5555555555555555
 _CHUNK = 65_536
+#: Words of a shingle, fingerprints and bits apart of similar texts; the least similarity in tenths.
+SIMILAR_WORDS, PRINTS, SIMILAR_APART, TENTHS = 5, 4, 7, 8
+#: Cells of up to so many points give all their pairs, unless there are over ``CROWD`` links a point.
+ALL_PAIRS, CROWD = 2048, 8
+#: Rows of one text's set in a join; more are dealt out to copies of it.
+SALT = 5_000
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -93,102 +103,126 @@ def _near(x: np.ndarray, y: np.ndarray, apart: int) -> np.ndarray:
     return at[np.bitwise_count((x ^ y)[at]) <= apart]
 
 
-def _forest(points: np.ndarray, apart: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links that connect what is connected among ``points``: a search in breadth that takes each point once."""
-    rest = np.unique(points)
+def _forest(ids: np.ndarray, points: np.ndarray, apart: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links that connect what is connected among ``points``: a search in breadth that takes each point once.
+
+    It begins at the point nearest to the majority of all, from which a crowd of copies is reached at once.
+    """
+    shifts = np.arange(64, dtype=np.uint64)
+    most = np.array([int(2 * ((points >> k) & np.uint64(1)).sum() > len(points)) for k in shifts], np.uint64)
+    by = np.lexsort((points, np.bitwise_count(points ^ np.uint64((most << shifts).sum()))))
+    rest, own = points[by], ids[by]
     while len(rest) > 1:
-        queue, rest = [rest[:1]], rest[1:]
+        queue, rest, own = [(rest[:1], own[:1])], rest[1:], own[1:]
         while queue and len(rest):
-            for p in queue.pop():
+            for p, i in zip(*queue.pop(), strict=True):
                 at = _near(rest, p, apart)
                 if len(at):
-                    found = rest[at]
-                    yield found, np.full(len(found), p)
-                    queue.append(found)
-                    rest = np.delete(rest, at)
+                    yield own[at], np.full(len(at), i)
+                    queue.append((rest[at], own[at]))
+                    rest, own = np.delete(rest, at), np.delete(own, at)
                 if not len(rest):
                     break
 
 
-def _links(cells: np.ndarray, points: np.ndarray, apart: int, small: int = 16) -> tuple[np.ndarray, np.ndarray]:
-    """Links in the cells of sorted rows: all pairs of a small cell at once over all of them, forests of the others."""
+def _links(cells: np.ndarray, ids: np.ndarray, points: np.ndarray, apart: int, small: int, crowd: int | None, roots: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links in the cells of sorted rows, and whether each comes from a forest.
+
+    All pairs of a cell of at most ``small`` points, over all such cells at once; with ``crowd``, cells with more than so
+    many links a point, and all larger cells, give forests instead. With ``roots``, pairs of one root don't count.
+    """
     starts = np.flatnonzero(np.concatenate(([True], (cells[1:] != cells[:-1]).any(axis=1))))
     sizes = np.diff(np.concatenate((starts, [len(points)])))
-    a, b = [], []
-    few = np.repeat(sizes <= small, sizes)
+    whole = sizes <= small if crowd is not None else np.ones(len(sizes), bool)
+    cell = np.repeat(np.arange(len(sizes)), sizes)
+    few = whole[cell]
     left = np.repeat(starts + sizes, sizes) - np.arange(len(points))  # rows of the cell from here on
-    for d in range(1, small):
+    one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for d in range(1, int(sizes[whole].max(initial=0))):
         at = np.flatnonzero(few & (left > d))
-        if not len(at):
-            break
+        if roots is not None:
+            at = at[roots[at] != roots[at + d]]
         hit = at[_near(points[at], points[at + d], apart)]
-        a.append(points[hit])
-        b.append(points[hit + d])
-    for s, n in zip(starts[sizes > small].tolist(), sizes[sizes > small].tolist(), strict=True):
-        for x, y in _forest(points[s : s + n], apart):
-            a.append(x)
-            b.append(y)
-    return (np.concatenate(a), np.concatenate(b)) if a else (points[:0], points[:0])
-
-
-def links(fps: DataFrame, apart: int = BITS_APART, split: int = SPLIT) -> DataFrame:
-    """``a, b``: links between distinct fingerprints ``fp`` that connect all that differ in ``apart`` bits or fewer."""
-    spark = fps.sparkSession
-    n = fps.count()
+        one.append(hit)
+        two.append(hit + d)
+    x, y = np.concatenate(one), np.concatenate(two)
+    if crowd is None:
+        return ids[x], ids[y], np.zeros(len(x), bool)
+    whole &= np.bincount(cell[x], minlength=len(sizes)) <= crowd * sizes
+    keep = whole[cell[x]]
+    a, b, forest = [ids[x[keep]]], [ids[y[keep]]], [np.zeros(int(keep.sum()), bool)]
+    for s, n in zip(starts[~whole].tolist(), sizes[~whole].tolist(), strict=True):
+        for p, q in _forest(ids[s : s + n], points[s : s + n], apart):
+            a.append(p)
+            b.append(q)
+            forest.append(np.ones(len(p), bool))
+    return np.concatenate(a), np.concatenate(b), np.concatenate(forest)
+
+
+def _met(points: DataFrame, n: int, apart: int, split: int, small: int, crowd: int | None) -> DataFrame:
+    """``a, b, forest``: links by ``id`` between points (``t, id, fp`` and perhaps ``root``) of equal ``t`` whose ``fp``
+    differ in at most ``apart`` bits. ``n``: how many points a ``t`` has."""
+    spark = points.sparkSession
     more = next(m for most, m in GROUPS if n <= most)
-    keys = F.posexplode(F.array(*[F.col("u").bitwiseAND(F.lit(m)) for m in masks(apart, more)]))
-    points = fps.select("fp", unary(F.col("fp")).alias("u")).select("fp", keys.alias("choice", "cell")).select("choice", "cell", "fp")
+    chosen = masks(apart, more)
+    keys = F.posexplode(F.array(*[F.col("u").bitwiseAND(F.lit(m)) for m in chosen]))
+    own = ["id", "fp"] + ["root"] * ("root" in points.columns)
+    points = points.withColumn("u", unary(F.col("fp"))).select("t", *own, keys.alias("choice", "cell"))
+    points = points.select((F.col("t") * len(chosen) + F.col("choice")).alias("choice"), "cell", *own)
     hot = written(points.groupBy("choice", "cell").agg(F.count("*").alias("n")).where(F.col("n") > split), "hot-cells")
     zero = F.lit(0).cast("int")
     if hot.isEmpty():
-        rows = points.select("choice", "cell", zero.alias("i"), zero.alias("j"), "fp")
+        rows = points.select("choice", "cell", zero.alias("i"), zero.alias("j"), *own)
     else:
         hot = size_checked_broadcast(hot.select("choice", "cell", F.ceil(F.col("n") / (split / 2)).cast("int").alias("k")), 100_000)
         joined = points.join(hot, ["choice", "cell"], "left")
-        block = F.pmod(F.xxhash64("fp"), F.coalesce("k", F.lit(1))).cast("int")
+        block = F.pmod(F.xxhash64("id"), F.coalesce("k", F.lit(1))).cast("int")
         other = F.explode(F.sequence(zero, F.coalesce("k", F.lit(1)) - 1))
         joined = joined.withColumn("block", block).withColumn("other", other)
-        rows = joined.select("choice", "cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "fp")
+        rows = joined.select("choice", "cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), *own)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     rows = rows.repartition(parts, "choice", "cell", "i", "j").sortWithinPartitions("choice", "cell", "i", "j")
+    long = lambda batch, k: batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, points = np.empty((0, 4), np.int64), np.empty(0, np.uint64)
-
-        def out(cells: np.ndarray, points: np.ndarray) -> pa.RecordBatch:
-            a, b = _links(cells, points, apart)
-            pairs = np.unique(np.stack((np.maximum(a, b), np.minimum(a, b)), axis=1), axis=0).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+        def out(rows: np.ndarray) -> pa.RecordBatch:
+            a, b, forest = _links(rows[:, :4], rows[:, 4], rows[:, 5].copy().view(np.uint64), apart, small, crowd, rows[:, 6] if len(own) > 2 else None)
+            found = np.unique(np.stack((np.maximum(a, b), np.minimum(a, b), forest), axis=1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy()), pa.array(found[:, 2] == 1)], ["a", "b", "forest"])
 
-        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        waiting: list[np.ndarray] = []
         held = 0
         for batch in it:
-            c = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("choice", "cell", "i", "j")], axis=1)
-            waiting.append((c, batch.column("fp").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)))
-            held += len(c)
+            waiting.append(np.stack([long(batch, k) for k in ("choice", "cell", "i", "j", *own)], axis=1))
+            held += len(waiting[-1])
             if held < _CHUNK:
                 continue
-            cells, points = np.concatenate([w[0] for w in waiting]), np.concatenate([w[1] for w in waiting])
-            cut = len(cells) - int((cells[::-1] == cells[-1]).all(axis=1).argmin() or len(cells))  # the last cell may go on
+            rows = np.concatenate(waiting)
+            cut = len(rows) - int((rows[::-1, :4] == rows[-1, :4]).all(axis=1).argmin() or len(rows))  # the last cell may go on
             if cut:
-                yield out(cells[:cut], points[:cut])
-            waiting, held = [(cells[cut:], points[cut:])], len(cells) - cut if cut else 0
-        if waiting:
-            cells, points = np.concatenate([w[0] for w in waiting]), np.concatenate([w[1] for w in waiting])
-            if len(points):
-                yield out(cells, points)
+                yield out(rows[:cut])
+            waiting, held = [rows[cut:]], len(rows) - cut if cut else 0
+        if waiting and sum(map(len, waiting)):
+            yield out(np.concatenate(waiting))
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "a long, b long, forest boolean")
+
+
+def links(fps: DataFrame, apart: int = BITS_APART, split: int = SPLIT) -> DataFrame:
+    """``a, b``: links between distinct fingerprints ``fp`` that connect all that differ in ``apart`` bits or fewer."""
+    points = fps.select(F.lit(0).alias("t"), F.col("fp").alias("id"), "fp")
+    return _met(points, fps.count(), apart, split, 16, 16).select("a", "b")
 
 
 def cluster_keyed(docs: DataFrame, apart: int = BITS_APART, words: int = WORDS) -> DataFrame:
     """``doc_id, __lr_f, __lr_i, fp, root, component_id`` of each row; rows have a row key."""
     rows = written(fingerprints(docs, words), "fingerprints")
-    known = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    known = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_fp")), "known-fingerprints")
     roots = components(links(known.select("fp"), apart))
-    found = written(known.join(roots, known.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
-    least = found.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(found.join(least, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "__lr_f", "__lr_i", "fp", "root", "component_id")
+    found = written(known.join(roots, known.fp == roots.node, "left").select("fp", "least", "n_fp", F.coalesce("root", "fp").alias("root")), "roots")
+    least = found.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n_root"))
+    placed = written(spread_join(found, written(least, "components"), ["root"], "n_root", found.count()), "placed")
+    return spread_join(rows, placed, ["fp"], "n_fp", rows.count()).select("doc_id", "__lr_f", "__lr_i", "fp", "root", "component_id")
 
 
 def cluster(docs: DataFrame, apart: int = BITS_APART, words: int = WORDS) -> DataFrame:
@@ -200,6 +234,121 @@ def drop_near_copies(docs: DataFrame, apart: int = BITS_APART, words: int = WORD
     """``docs`` with one row of each component: the one with its least id; of rows that repeat that id, one."""
     keyed = with_row_key(docs)
     rows = written(cluster_keyed(keyed, apart, words), "components")
-    stays = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__lr_f", "__lr_i")).alias("k"))
-    dropped = rows.join(stays, "root").where(~((F.col("k.__lr_f") == F.col("__lr_f")) & (F.col("k.__lr_i") == F.col("__lr_i"))))
-    return without_rows(keyed, dropped, rows.count()).select(*docs.columns)
+    return without_rows(keyed, not_least(rows), rows.count()).select(*docs.columns)
+
+
+def not_least(rows: DataFrame) -> DataFrame:
+    """The rows (``doc_id``, row key, ``root``) that aren't the one of their component with its least id."""
+    stays = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__lr_f", "__lr_i")).alias("k"), F.count("*").alias("n_rows"))
+    placed = spread_join(rows, written(stays, "stays"), ["root"], "n_rows", rows.count())
+    return placed.where(~((F.col("k.__lr_f") == F.col("__lr_f")) & (F.col("k.__lr_i") == F.col("__lr_i"))))
+
+
+# ---- similar texts, verified on their sets of shingles
+
+
+def shingles(text: str | None, words: int = SIMILAR_WORDS) -> np.ndarray:
+    """Hashes of the distinct shingles, sorted; a text of fewer words is one shingle."""
+    parts = (text or "").encode().lower().split()
+    joined = b" ".join(parts)
+    ends = np.cumsum([len(p) + 1 for p in parts or [b""]]) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    size = min(words, len(ends))
+    digest = xxhash.xxh64_intdigest
+    got = [digest(joined[s:e], SEED) for s, e in zip(starts[: len(ends) - size + 1].tolist(), ends[size - 1 :].tolist(), strict=True)]
+    return np.unique(np.array(got, np.uint64))
+
+
+def prints(hashes: np.ndarray, n: int = PRINTS) -> np.ndarray:
+    """``n`` fingerprints of a set of hashes, as signed longs: a bit is 1 if set in over half of them."""
+    out = np.zeros((n, 64), np.int64)
+    for i in range(0, len(hashes), _CHUNK):
+        h = hashes[i : i + _CHUNK]
+        for t in range(n):
+            out[t] += np.unpackbits(h.astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            h = h ^ (h >> np.uint64(31))
+    return np.packbits(2 * out > len(hashes), axis=1).view(">i8").ravel().astype(np.int64)
+
+
+def _signatures(keyed: DataFrame) -> DataFrame:
+    """``doc_id, __lr_f, __lr_i, prints, id`` of each row."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            found = [prints(shingles(t)) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "__lr_f", "__lr_i")), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "__lr_f", "__lr_i", "prints"])
+
+    rows = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "__lr_f", "__lr_i", F.col("text").cast("string").alias("text"))
+    signed = rows.mapInArrow(run, "doc_id long, __lr_f long, __lr_i long, prints array<long>")
+    return written(signed.withColumn("id", F.monotonically_increasing_id()), "signatures")
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame, side: str, other: str) -> DataFrame:
+    """``pairs`` with the set of ``side`` as ``{side}_set``. A text of many pairs has several copies of its set."""
+    parts = F.ceil(F.col("n") / SALT).cast("int").alias("parts")
+    hot = written(pairs.groupBy(side).agg(F.count("*").alias("n")).where(F.col("n") > SALT).select(side, parts), "hot-texts")
+    many = F.coalesce("parts", F.lit(1))
+    dealt = pairs.join(size_checked_broadcast(hot), side, "left").withColumn("part", F.pmod(F.xxhash64(other), many).cast("int")).drop("parts")
+    held = sets.select(F.col("id").alias(side), F.col("held").alias(f"{side}_set")).join(size_checked_broadcast(hot), side, "left")
+    held = held.withColumn("part", F.explode(F.sequence(F.lit(0), many - 1))).drop("parts")
+    return dealt.join(held, [side, "part"]).drop("part")
+
+
+def _verified(keyed: DataFrame, rows: DataFrame, pairs: DataFrame, total: int) -> DataFrame:
+    """The pairs ``a, b`` of ids in ``rows`` whose sets of shingles are similar enough."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = written(rows.select("id", "__lr_f", "__lr_i").join(ids, "id", "left_semi"), "similar-ids")
+    some = only_rows(keyed.select("__lr_f", "__lr_i", F.col("text").cast("string").alias("text")), ids, total)
+
+    def sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            yield pa.RecordBatch.from_arrays([b.column("__lr_f"), b.column("__lr_i"), pa.array([shingles(t).tobytes() for t in b.column("text").to_pylist()], pa.binary())], ["__lr_f", "__lr_i", "held"])
+
+    held = some.mapInArrow(sets, "__lr_f long, __lr_i long, held binary").join(ids, ["__lr_f", "__lr_i"]).select("id", "held")
+    held = written(held, "similar-sets")
+
+    def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            hit = []
+            for p, q in zip(b.column("a_set"), b.column("b_set"), strict=True):
+                x, y = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True)) if 10 * min(len(x), len(y)) >= TENTHS * max(len(x), len(y)) else 0
+                hit.append(10 * both >= TENTHS * (len(x) + len(y) - both))
+            yield b.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
+
+    both = _with_sets(_with_sets(pairs.select("a", "b"), held, "a", "b"), held, "b", "a")
+    return written(both.select("a", "b", "a_set", "b_set").mapInArrow(compare, "a long, b long"), "similar-links")
+
+
+def similar_groups(keyed: DataFrame) -> DataFrame:
+    """``doc_id, __lr_f, __lr_i, root`` of rows that have a row key: rows linked by similar sets share a root."""
+    rows = _signatures(keyed)
+    n = rows.count()
+    points = rows.select(F.posexplode("prints").alias("t", "fp"), "id")
+    found = _met(points, n, SIMILAR_APART, SPLIT, ALL_PAIRS, CROWD).groupBy("a", "b").agg(F.max("forest").alias("forest"))
+    found = written(found.where("a <> b"), "similar-pairs")
+    true = _verified(keyed, rows, found, n)
+    roots = written(components(true), "similar-roots")
+    # a forest's link that isn't true may stand before others that are: all pairs of such crowds, across components
+    failed = found.where("forest").join(true, ["a", "b"], "left_anti")
+    if not failed.isEmpty():
+        crowds = written(components(found.where("forest").select("a", "b")), "crowds")
+        crowds = crowds.unionByName(crowds.select(F.col("root").alias("node"), "root").distinct())
+        open_ = crowds.join(failed.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("root").distinct()
+        inside = crowds.join(size_checked_broadcast(open_), "root", "left_semi").select(F.col("node").alias("id"))
+        placed = points.join(written(inside, "crowded"), "id", "left_semi").join(roots, F.col("id") == F.col("node"), "left")
+        placed = placed.select("t", "id", "fp", F.coalesce("root", "id").alias("root"))
+        rest = written(_met(placed, n, SIMILAR_APART, SPLIT, ALL_PAIRS, None).select("a", "b").distinct().join(found, ["a", "b"], "left_anti"), "similar-pairs")
+        if not rest.isEmpty():
+            roots = components(true.unionByName(_verified(keyed, rows, rest, n)))
+    return rows.join(roots, rows.id == roots.node, "left").select("doc_id", "__lr_f", "__lr_i", F.coalesce("root", "id").alias("root"))
+
+
+def drop_similar(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component of similar texts: the one with its least id. Null and empty texts are
+    alike; a row without an id goes before one that has one."""
+    keyed = with_row_key(docs)
+    rows = written(similar_groups(keyed), "components")
+    return without_rows(keyed, not_least(rows), rows.count()).select(*docs.columns)
