@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomread.llm import common, exact_dedup, mixing, near_dedup, packing, toxicity
+from loomread.llm import common, exact_dedup, mixing, packing, simhash, toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are similar by their shingles of five words, the row with the least id."""
     common.prepare(spark)
-    return near_dedup.drop_near_copies(docs)
+    return simhash.drop_similar(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
