@@ -6,7 +6,7 @@ import os
 import tempfile
 import threading
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -111,26 +111,28 @@ def _row_filter(marked: DataFrame, rows: int) -> tuple[np.ndarray, int]:
     return out.view(np.uint8), bits
 
 
-def _passed(keyed: DataFrame, marked: DataFrame, rows: int, marked_ones: bool) -> DataFrame:
+def _passed(keyed: DataFrame, marked: DataFrame, rows: int, marked_ones: bool, then: tuple[Callable, str] | None = None) -> DataFrame:
     held, bits = _row_filter(marked, rows)
     shared, names = keyed.sparkSession.sparkContext.broadcast(held), keyed.columns
+    after, schema = then or (iter, keyed.schema)
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def passed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for b in it:
             place = b.column("__lr_p").to_numpy(zero_copy_only=False)
             hit = (own[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
             yield b.filter(pa.array(hit == marked_ones)).select(names)
 
-    return keyed.withColumn("__lr_p", F.expr(f"pmod(xxhash64(__lr_f, __lr_i), {bits})")).mapInArrow(run, keyed.schema)
+    return keyed.withColumn("__lr_p", F.expr(f"pmod(xxhash64(__lr_f, __lr_i), {bits})")).mapInArrow(lambda it: after(passed(it)), schema)
 
 
-def only_rows(keyed: DataFrame, marked: DataFrame, rows: int) -> DataFrame:
+def only_rows(keyed: DataFrame, marked: DataFrame, rows: int, then: tuple[Callable, str] | None = None) -> DataFrame:
     """The rows of ``keyed`` whose row key is in ``marked``, and few others: a filter of bounded size, no shuffle.
 
-    ``rows``: how many rows there are, for the filter's size.
+    ``rows``: how many rows there are, for the filter's size. ``then``: a function of Arrow batches and the schema that
+    it gives, applied to these rows by the same worker.
     """
-    return _passed(keyed, marked, rows, True)
+    return _passed(keyed, marked, rows, True, then)
 
 
 def without_rows(keyed: DataFrame, marked: DataFrame, rows: int) -> DataFrame:

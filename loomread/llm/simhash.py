@@ -300,13 +300,13 @@ def _verified(keyed: DataFrame, rows: DataFrame, pairs: DataFrame, total: int) -
     """The pairs ``a, b`` of ids in ``rows`` whose sets of shingles are similar enough."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     ids = written(rows.select("id", "__lr_f", "__lr_i").join(ids, "id", "left_semi"), "similar-ids")
-    some = only_rows(keyed.select("__lr_f", "__lr_i", F.col("text").cast("string").alias("text")), ids, total)
 
     def sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             yield pa.RecordBatch.from_arrays([b.column("__lr_f"), b.column("__lr_i"), pa.array([shingles(t).tobytes() for t in b.column("text").to_pylist()], pa.binary())], ["__lr_f", "__lr_i", "held"])
 
-    held = some.mapInArrow(sets, "__lr_f long, __lr_i long, held binary").join(ids, ["__lr_f", "__lr_i"]).select("id", "held")
+    some = keyed.select("__lr_f", "__lr_i", F.col("text").cast("string").alias("text"))
+    held = only_rows(some, ids, total, (sets, "__lr_f long, __lr_i long, held binary")).join(ids, ["__lr_f", "__lr_i"]).select("id", "held")
     held = written(held, "similar-sets")
 
     def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

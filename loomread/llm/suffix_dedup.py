@@ -45,9 +45,9 @@ WINDOW = MATCH - 8
 #: How far apart the ranks are that are paired: MODULUS bytes double to 32 of them, and 24 more make WINDOW.
 STEPS = (1, 2, 4, 8, 16, 24)
 #: Bytes of text in a batch, about; in a strip; of segments in a bucket.
-BATCH_BYTES = 8_000_000
-STRIP = 1 << 20
-BUCKET_BYTES = 4_000_000
+BATCH_BYTES = 4_000_000
+STRIP = 1 << 17
+BUCKET_BYTES = 2_000_000
 HEAVY = 4_000
 _BASE = 0x9E3779B97F4A7C15
 _PLACES = np.uint64((1 << 24) - 1)
