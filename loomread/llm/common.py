@@ -21,6 +21,8 @@ from loomread.plans.storage import shared_path, written
 FILTER_BITS = 1 << 27
 #: Rows handed to a Python worker in one Arrow batch. Texts may be long, so a batch stays small.
 ARROW_ROWS = 512
+#: Bytes in one, about.
+ARROW_BYTES = 4 << 20
 #: Most keys that are joined by broadcast because many rows have them.
 HOT_SHARE = 10_000
 _LOCK = threading.Lock()
@@ -40,6 +42,7 @@ def prepare(spark: SparkSession) -> SparkSession:
             sc._loomread_shipped = target
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return spark
 
 
