@@ -2,15 +2,14 @@
 
 Each token scores its log-odds for toxic documents under nested Dirichlet priors (a word leans on its 6-letter
 beginning, that on the 5-letter one, then 4 letters, then the base rate), less a drift, so that neutral text scores
-negative on average. A linear-time scan finds all maximal scoring segments (Ruzzo and Tompa). In a segment a word adds
-to the score ``REPEATS`` times and its further uses add nothing; a segment with such uses is scanned again for the
-passages in it, each of which counts uses from its own start. What stands elsewhere in a text doesn't matter. Scores are
-calibrated as extreme values (Karlin and Altschul): lambda solves sum p(s) exp(lambda s) = 1 over clean text, ln K comes
+negative on average. The odds come from documents that have a word, however often, so a word that was used ``gap`` tokens
+before tells little anew: its log-odds count by 1 - exp(-gap / ``BURST``). A linear-time scan finds all maximal scoring segments (Ruzzo and Tompa). Scores are calibrated as extreme values (Karlin and Altschul): lambda solves sum p(s) exp(lambda s) = 1 over clean text, ln K comes
 from the highest segments of clean documents, and a segment of score S in a text of n tokens has the normalised score
-lambda S - ln(K n), its -ln(E). A logistic curve over the best and the summed normalised scores gives the score.
+lambda S - ln(K n), its -ln(E). A logistic curve over the best and the summed normalised scores, of which each counts as ``SURE``
+from there on, gives the score.
 
-Bounds: the model is fitted on at most ``FIT_ROWS`` labelled rows, chosen by a hash of their ids, and holds at most
-``MODEL_UNITS`` words and beginnings of words. All documents are scored, whole texts each.
+Bounds: the model is fitted on at most ``FIT_ROWS`` labelled rows, chosen by a hash of their ids; all of their words and
+beginnings of words that two documents have are in it. All documents are scored, whole texts each.
 
 Defined results: a null or empty text has no tokens and gets the curve's value without segments; without labels of both
 kinds, the score is the rate of toxic labels (0 without any); a null id is never held out nor learned from; repeated
@@ -30,17 +29,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomread.llm.common import written
+
 FIT_ROWS = 40_000
-MODEL_UNITS = 60_000
 #: Weight of the prior at each step of the nesting, in documents.
 PRIOR = 4.0
 DRIFT = 1.0
-#: How often a word adds to the score of one segment.
-REPEATS = 2
+#: Tokens after which a word tells 63 % as much again.
+BURST = 16.0
 BEGINNINGS = (4, 5, 6)
 THRESHOLD = 0.3
-#: Normalised scores are held within these, for the curve.
-LOW, HIGH = -12.0, 40.0
+#: From this normalised score on (a chance of e**-40) the curve sees no difference.
+SURE = 40.0
 _WORD = re.compile(r"[^\W\d_]+")
 _EULER = 0.5772156649
 
@@ -90,65 +90,14 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, h - lo) for a, b, lo, h in zip(first, last, low, high, strict=True)]
 
 
-def _reach(words: list[str], scores: list[float], places: range) -> tuple[int, float]:
-    """How many of ``places``, from the first on, give the highest sum (the most of them) before the sum falls to 0, and
-    that sum. A word adds ``REPEATS`` times."""
-    uses: dict[str, int] = {}
-    total = best = 0.0
-    most = 0
-    for read, i in enumerate(places, 1):
-        s = scores[i]
-        if s > 0:
-            uses[words[i]] = n = uses.get(words[i], 0) + 1
-            if n > REPEATS:
-                s = 0.0
-        total += s
-        if total >= best:
-            most, best = read, total
-        elif total <= 0:
-            break
-    return most, best
-
-
-def passages(words: list[str], scores: np.ndarray) -> list[tuple[int, int, float]]:
-    """Segments as (first, after last, score), where a word adds to the score of a segment ``REPEATS`` times.
-
-    They are the maximal scoring segments, but those with further uses of a word are read from the left as far as the
-    sum grows and from there back to the best start, so that repeats neither add up nor hide what comes after them.
-    """
-    out, plain = [], None
-    for first, after, total in segments(scores):
-        if after - first > REPEATS:
-            uses = Counter(words[i] for i in (first + np.flatnonzero(scores[first:after] > 0)).tolist())
-            if max(uses.values()) > REPEATS:
-                plain = scores.tolist() if plain is None else plain
-                found, todo = [], [(first, after)]
-                while todo:
-                    a, b = todo.pop()
-                    while a < b and plain[a] <= 0:
-                        a += 1
-                    if a == b:
-                        continue
-                    most, _ = _reach(words, plain, range(a, b))
-                    end = a + most
-                    most, best = _reach(words, plain, range(end - 1, a - 1, -1))
-                    start = end - most
-                    found.append((start, end, best))
-                    todo += [(end, b), (a, start)]
-                out += sorted(found)
-                continue
-        out.append((first, after, total))
-    return out
-
-
 @dataclass
 class Model:
-    """Log-odds of words and beginnings, the calibration and the curve. Small: at most ``MODEL_UNITS`` entries."""
+    """Log-odds of words and beginnings, the calibration and the curve. As large as the sample's vocabulary."""
 
     odds: dict[str, float] = field(default_factory=dict)
     lam: float = 1.0
     ln_k: float = 0.0
-    curve: tuple[float, float, float] | None = None  # constant, weight of the best, weight of the sum
+    curve: tuple[float, ...] | None = None  # constant, weights of the features
     rate: float = 0.0
     _known: dict[str, float] = field(default_factory=dict)
 
@@ -162,26 +111,29 @@ class Model:
         return s
 
     def scores(self, words: list[str]) -> np.ndarray:
-        return np.array([self.token(w) for w in words], float)
-
-    def scan(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
-        """The number of tokens; the segments with their normalised scores."""
+        out = np.array([self.token(w) for w in words], float)
+        last: dict[str, int] = {}
+        for i in np.flatnonzero(out > -DRIFT).tolist():
+            before = last.get(words[i])
+            last[words[i]] = i
+            if before is not None:
+                out[i] = (out[i] + DRIFT) * -math.expm1((before - i) / BURST) - DRIFT
+        return out
+
+    def statistics(self, text: str | None) -> tuple[tuple[float, float], list[tuple[int, int, float]]]:
+        """The curve's features; the significant segments, whose E-value is below 1, with their normalised scores."""
         words = tokens(text)
-        found = passages(words, self.scores(words))
+        scores = self.scores(words)
         shift = self.ln_k + math.log(max(len(words), 1))
-        return len(words), [(a, b, self.lam * s - shift) for a, b, s in found]
-
-    def statistics(self, text: str | None) -> tuple[float, float, list[tuple[int, int, float]]]:
-        """Best and summed normalised scores; the significant segments, whose E-value is below 1."""
-        _, found = self.scan(text)
-        best = max((s for *_, s in found), default=LOW)
+        found = [(a, b, self.lam * s - shift) for a, b, s in segments(scores)]
         good = [x for x in found if x[2] > 0]
-        return min(max(best, LOW), HIGH), min(sum(x[2] for x in good), HIGH), good
+        best = max((s for *_, s in found), default=-shift)  # without a segment, the normalised score of 0
+        return (min(best, SURE), min(sum(x[2] for x in good), SURE)), good
 
-    def score(self, best: float, total: float) -> float:
+    def score(self, features: tuple[float, float]) -> float:
         if self.curve is None:
             return self.rate
-        z = self.curve[0] + self.curve[1] * best + self.curve[2] * total
+        z = self.curve[0] + sum(w * x for w, x in zip(self.curve[1:], features, strict=True))
         return 1 / (1 + math.exp(-max(min(z, 30.0), -30.0)))
 
 
@@ -202,19 +154,20 @@ def log_odds(counts: dict[str, tuple[int, int]], rate: float) -> dict[str, float
     return {u: math.log(of(u) / (1 - of(u))) - base for u in counts}
 
 
-def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     """Ridge logistic regression by Newton's steps; the slopes aren't negative."""
-    a, w, ridge = np.c_[np.ones(len(x)), x], np.zeros(3), np.diag([1e-3, 1e-2, 1e-2])
+    k = x.shape[1]
+    a, w, ridge = np.c_[np.ones(len(x)), x], np.zeros(k + 1), np.diag([1e-3, *[1e-2] * k])
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
         step = np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + ridge, a.T @ (y - p) - ridge @ w)
         w = w + np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
-    return float(w[0]), max(float(w[1]), 0.0), max(float(w[2]), 0.0)
+    return float(w[0]), *(max(float(v), 0.0) for v in w[1:])
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, model_units: int = MODEL_UNITS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """Fit on the labelled rows that aren't held out, at most ``fit_rows`` of them.
 
     A quarter of them is left out of the counts for the calibration and the curve; the final counts have all.
@@ -225,6 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, model_unit
     chosen = known.orderBy(F.xxhash64(F.col("doc_id"), F.lit(1)), "doc_id").limit(fit_rows)
     chosen = chosen.withColumn("aside", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(2)), F.lit(4)) == 0)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = written(rows, "toxicity-fit")  # the one scan of all documents; what follows reads the sample
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[str | None, bool, int], int] = Counter()
@@ -246,10 +200,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, model_unit
 
     n_of = lambda aside, toxic: F.sum(F.when((F.col("toxic") == toxic) & ((F.col("aside") == F.lit(False)) | F.lit(aside)), F.col("n")).otherwise(0))
     counts = rows.mapInArrow(count, "unit string, aside boolean, toxic int, n long").groupBy("unit").agg(n_of(True, 1).alias("t"), n_of(True, 0).alias("c"), n_of(False, 1).alias("t0"), n_of(False, 0).alias("c0"))
-    # units that tell the most: |log-odds| by the root of the documents; the row of the documents themselves comes first
-    own = F.log((F.col("t") + 0.5) / (F.col("c") + 3.0))
-    tells = F.when(F.col("unit").isNull(), F.lit(float("inf"))).otherwise(F.abs(own + F.lit(math.log(6.0))) * F.sqrt(F.col("t") + F.col("c")))
-    kept = counts.where(F.col("unit").isNull() | (F.col("t") + F.col("c") >= 2)).orderBy(F.desc(tells), "unit").limit(model_units + 1).collect()
+    # all units of two documents or more: as many as the sample's rows bring
+    kept = counts.where(F.col("unit").isNull() | (F.col("t") + F.col("c") >= 2)).collect()
     total = next(((r["t"], r["c"], r["t0"], r["c0"]) for r in kept if r["unit"] is None), (0, 0, 0, 0))
     if not total[0] or not total[1]:
         return Model(rate=total[0] / max(1, total[0] + total[1]))
@@ -268,7 +220,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, model_unit
             for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
                 words = tokens(text)
                 scores = model.scores(words)
-                found = [s for *_, s in passages(words, scores)]
+                found = [s for *_, s in segments(scores)]
                 values, n = np.unique(np.round(scores, 2), return_counts=True)
                 out.append((toxic, len(scores), found, dict(zip(values.tolist(), n.tolist(), strict=True)) if not toxic else {}))
             hist: Counter = Counter()
@@ -293,11 +245,11 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, model_unit
     def features(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(shared.value, lam, ln_k)
         for b in it:
-            z = [model.statistics(t)[:2] for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array([v[0] for v in z], pa.float64()), pa.array([v[1] for v in z], pa.float64())], ["toxic", "best", "total"])
+            z = [model.statistics(t)[0] for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array([list(v) for v in z], pa.list_(pa.float64()))], ["toxic", "x"])
 
-    seen = aside.mapInArrow(features, "toxic int, best double, total double").collect()  # at most fit_rows rows
-    x, y = [(r["best"], r["total"]) for r in seen], [r["toxic"] for r in seen]
+    seen = aside.mapInArrow(features, "toxic int, x array<double>").collect()  # at most fit_rows rows
+    x, y = [r["x"] for r in seen], [r["toxic"] for r in seen]
     if len(set(y)) == 2:
         final.curve = _curve(np.array(x, float), np.array(y, float))
     return final
@@ -330,11 +282,11 @@ def score(docs: DataFrame, model: Model, with_segments: bool = False) -> DataFra
         own = Model(*shared.value)
         for b in it:
             got = [own.statistics(t) for t in b.column("text").to_pylist()]
-            values = [own.score(best, total) for best, total, _ in got]
-            cols = [b.column("doc_id"), b.column("held_out"), pa.array(values, pa.float64()), pa.array([int(v >= THRESHOLD) for v in values], pa.int32()), pa.array([len(g) for *_, g in got], pa.int32())]
+            values = [own.score(x) for x, _ in got]
+            cols = [b.column("doc_id"), b.column("held_out"), pa.array(values, pa.float64()), pa.array([int(v >= THRESHOLD) for v in values], pa.int32()), pa.array([len(g) for _, g in got], pa.int32())]
             names = ["doc_id", "held_out", "score", "predicted", "n_segments"]
             if with_segments:
-                cols.append(pa.array([[{"first": a, "after": z, "score": s} for a, z, s in g] for *_, g in got], pa.list_(pa.struct([("first", pa.int32()), ("after", pa.int32()), ("score", pa.float64())]))))
+                cols.append(pa.array([[{"first": a, "after": z, "score": s} for a, z, s in g] for _, g in got], pa.list_(pa.struct([("first", pa.int32()), ("after", pa.int32()), ("score", pa.float64())]))))
                 names.append("segments")
             yield pa.RecordBatch.from_arrays(cols, names)
 
@@ -349,7 +301,7 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
         for b in it:
-            clean = [own.score(*own.statistics(t)[:2]) < THRESHOLD for t in b.column("text").to_pylist()]
+            clean = [own.score(own.statistics(t)[0]) < THRESHOLD for t in b.column("text").to_pylist()]
             yield b.filter(pa.array(clean, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
