@@ -164,6 +164,10 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
         w = w + np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
+    if k > 1 and (w[1:] < 0).any():  # fit again without the features that would lower the score
+        keep = w[1:] >= 0
+        held = iter(_curve(x[:, keep], y)) if keep.any() else iter((float(w[0]),))
+        return next(held), *(next(held) if own else 0.0 for own in keep)
     return float(w[0]), *(max(float(v), 0.0) for v in w[1:])
 
 
