@@ -3,7 +3,8 @@
 The decoder reads prefix codes, back-references and the colour cache, and inverts the predictor, cross-colour,
 subtract-green and palette transforms; it gives ``height x width`` arrays of ARGB pixels. Pictures whose red, blue and
 alpha codes have one symbol (grey pictures after subtract-green) are decoded in long steps: the code length at each bit
-is looked up for a stretch of bits at once, and only the chain of code starts is followed one by one.
+is looked up for a stretch of bits at once, and only the chain of code starts is followed one by one. The encoder chooses
+copies, a palette or a predictor by what the samples are.
 
 Defined results of :func:`store_texts`: a null or empty text is 64 zero bytes; a text of more than 2**20 bytes is
 stored as several pictures after each other; equal texts give equal rows; other columns are ignored.
@@ -320,6 +321,8 @@ def _predict(mode: int, left: np.ndarray, top: np.ndarray, top_left: np.ndarray,
 def predicted(pixels: np.ndarray, modes: np.ndarray, bits: int, inverse: bool) -> np.ndarray:
     """Residuals of ``pixels`` under the block modes, or pixels of residuals."""
     height, width = pixels.shape
+    if modes.min() == modes.max() and modes.min() in (1, 2):
+        return _predicted_along(pixels, int(modes.min()), inverse)
     source = _channels(pixels).astype(np.int32)
     out = source.copy()
     whole = out if inverse else source  # neighbours come from here
@@ -341,6 +344,22 @@ def predicted(pixels: np.ndarray, modes: np.ndarray, bits: int, inverse: bool) -
     return np.ascontiguousarray(out.astype(np.uint8)).view(np.uint32).reshape(height, width)
 
 
+def _predicted_along(pixels: np.ndarray, mode: int, inverse: bool) -> np.ndarray:
+    """Residuals or pixels where the left (1) or upper (2) pixel is the prediction everywhere but on the first edges."""
+    c = _channels(pixels)
+    c = c if mode == 1 else c.transpose(1, 0, 2)  # along axis 1, the edge along axis 0
+    out = c.copy()
+    if inverse:
+        out[0, 0, 3:] += np.uint8(255)  # the first prediction is opaque black
+        out[:, 0] = out[:, 0].cumsum(axis=0, dtype=np.uint8)
+        out = out.cumsum(axis=1, dtype=np.uint8)
+    else:
+        out[:, 1:] = c[:, 1:] - c[:, :-1]
+        out[1:, 0] = c[1:, 0] - c[:-1, 0]
+        out[0, 0, 3:] -= np.uint8(255)
+    return np.ascontiguousarray(out if mode == 1 else out.transpose(1, 0, 2)).view(np.uint32).reshape(pixels.shape)
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint8).view(np.int8).astype(np.int32)
 
@@ -631,24 +650,141 @@ def encode(pixels: np.ndarray, transforms: tuple = (), cache_bits: int = 0, lz:
 
 _ONE_SYMBOL = ((1, 1), (0, 1), (0, 1), (0, 1))  # simple, one symbol, of one bit, 0
 _OPAQUE = ((1, 1), (0, 1), (1, 1), (255, 8))
+#: Least length of a copy, and the longest that one length code tells.
+COPY, LONGEST = 16, 4096
+#: A transform is taken if it saves this share of the bits, by the entropy of what is left.
+SAVES = 0.05
+#: Bits of a copy, about.
+COPY_BITS = 30
+
+
+def copies(raw: bytes) -> list[tuple[int, int, int]]:
+    """Copies in a byte string, in its order and without overlap: (place, length, how far back).
+
+    A copy begins at the byte that is the most frequent one (in prose, the space), where the ``COPY`` bytes from there on
+    stood at the last such place that has them.
+    """
+    x = np.frombuffer(raw, np.uint8)
+    if len(x) < 2 * COPY:
+        return []
+    at = np.flatnonzero(x[: len(x) - COPY] == np.bincount(x).argmax())
+    words = np.ndarray((len(x) - 7,), "<u8", raw, 0, (1,))
+    h = words[at] * np.uint64(0x9E3779B97F4A7C15) ^ words[at + 8]
+    by = np.argsort(h, kind="stable")
+    same = np.flatnonzero(h[by][1:] == h[by][:-1])
+    out, done = [], 0
+    order = np.argsort(by[same + 1])
+    for i, j in zip(at[by[same + 1]][order].tolist(), at[by[same]][order].tolist(), strict=True):
+        if i < done or raw[i : i + COPY] != raw[j : j + COPY]:
+            continue
+        n, step = COPY, COPY
+        while step:  # as far as both agree
+            if raw[i + n : i + n + step] == raw[j + n : j + n + step] and i + n + step <= len(raw):
+                n += step
+                step *= 2
+            else:
+                step //= 2
+        for k in range(0, n, LONGEST):
+            if n - k >= 3:
+                out.append((i + k, min(LONGEST, n - k), i - j))
+                done = i + k + min(LONGEST, n - k)
+    return out
+
+
+def _entropy(x: np.ndarray) -> float:
+    """Bits of the samples by their own frequencies."""
+    n = np.bincount(x, minlength=256).astype(float)
+    n = n[n > 0]
+    return float(n @ np.log2(n.sum() / n))
 
 
 def encode_grey(samples: np.ndarray) -> bytes:
-    """An opaque grey picture of ``height x width`` 8-bit samples, with subtract-green and one optimal prefix code."""
+    """An opaque grey picture of ``height x width`` 8-bit samples.
+
+    Samples that few values make up are indices into a palette, several in a pixel; where neighbours are alike, what the
+    left or upper one doesn't predict is stored; else green with subtract-green. Each only if the entropy says so. One
+    optimal prefix code holds samples and the lengths of copies.
+    """
     height, width = samples.shape
+    flat = np.ascontiguousarray(samples).ravel()
     w = Writer()
     _header(w, width, height, False)
-    for value, bits in ((1, 1), (SUBTRACT_GREEN, 2), (0, 1), (0, 1), (0, 1)):  # no other transform, cache or groups
-        w.put(value, bits)
-    flat = samples.ravel()
-    lengths = np.zeros(280, np.int64)
-    lengths[:256] = code_lengths(np.bincount(flat, minlength=256), 15)
+    found = copies(flat.tobytes())
+    literal = np.ones(len(flat), bool)
+    for at, n, _ in found:
+        literal[at : at + n] = False
+    best, how, coded, wide = (_entropy(flat[literal]) + COPY_BITS * len(found)) * (1 - SAVES), "green", flat, width
+    values = np.unique(flat)
+    if 1 < len(values) <= 16:
+        by = _bundle(len(values))
+        index = np.searchsorted(values, samples)
+        index = np.pad(index, ((0, 0), (0, -width % (1 << by)))).reshape(height, -1, 1 << by)
+        packed = (index << (np.arange(1 << by) * (8 >> by))).sum(axis=2).astype(np.uint8)
+        if (cost := _entropy(packed.ravel()) + 8 * len(values)) < best:
+            best, how, coded, wide = cost, "palette", packed.ravel(), packed.shape[1]
+    if not found and how == "green":
+        grey = np.uint32(0xFF000000) | samples.astype(np.uint32) << np.uint32(8)
+        for mode in (1, 2):
+            left = ((_predicted_along(grey, mode, False) >> np.uint32(8)) & np.uint32(255)).astype(np.uint8).ravel()
+            if (cost := _entropy(left)) < best:
+                best, how, coded = cost, mode, left
+    alpha = _OPAQUE
+    if how == "palette":
+        w.put(1, 1)
+        w.put(PALETTE, 2)
+        w.put(len(values) - 1, 8)
+        table = np.uint32(0xFF000000) | values.astype(np.uint32) * np.uint32(0x010101)
+        c = _channels(table)
+        _write_pixels(w, np.concatenate((c[:1], c[1:] - c[:-1])).view(np.uint32).reshape(1, -1), False)
+    else:
+        w.put(1, 1)
+        w.put(SUBTRACT_GREEN, 2)
+        if how != "green":
+            w.put(1, 1)
+            w.put(PREDICTOR, 2)
+            w.put(7, 3)  # blocks of 512
+            _write_pixels(w, np.full((-(-height // 512), -(-width // 512)), how << 8, np.uint32), False)
+            alpha = _ONE_SYMBOL
+    for value in (0, 0, 0):  # no other transform, cache or groups
+        w.put(value, 1)
+    found = copies(coded.tobytes()) if how == "palette" else found
+    _write_green(w, coded, found, alpha)
+    return _file(w)
+
+
+def _write_green(w: Writer, coded: np.ndarray, found: list[tuple[int, int, int]], alpha: tuple) -> None:
+    """Pixels of which only green differs, and copies of earlier ones."""
+    lengths_of = [_prefix(n) for _, n, _ in found]
+    backs_of = [_prefix(back + len(NEAR)) for *_, back in found]
+    literal = np.ones(len(coded), bool)
+    for at, n, _ in found:
+        literal[at : at + n] = False
+    counts = np.zeros(280, np.int64)
+    counts[:256] = np.bincount(coded[literal], minlength=256)
+    backs = np.zeros(40, np.int64)
+    for (p, *_), (q, *_) in zip(lengths_of, backs_of, strict=True):
+        counts[256 + p] += 1
+        backs[q] += 1
+    lengths, far = code_lengths(counts, 15), code_lengths(backs, 15)
     _write_code(w, lengths)
-    for value, bits in (*_ONE_SYMBOL, *_ONE_SYMBOL, *_OPAQUE, *_ONE_SYMBOL):
+    for value, bits in (*_ONE_SYMBOL, *_ONE_SYMBOL, *alpha):
         w.put(value, bits)
-    if np.count_nonzero(lengths) > 1:
-        w.put_all(_reversed_codes(lengths)[flat], lengths[flat])
-    return _file(w)
+    _write_code(w, far)
+    codes, far_codes = _reversed_codes(lengths), _reversed_codes(far)
+    many, several = np.count_nonzero(lengths) > 1, np.count_nonzero(far) > 1
+    at = 0
+    for (start, n, _), (p, e, bits), (q, f, more) in zip([*found, (len(coded), 0, 0)], [*lengths_of, (0, 0, 0)], [*backs_of, (0, 0, 0)], strict=True):
+        part = coded[at:start]
+        if many and len(part):
+            w.put_all(codes[part], lengths[part])
+        if n:
+            if many:
+                w.put(int(codes[256 + p]), int(lengths[256 + p]))
+            w.put(e, bits)
+            if several:
+                w.put(int(far_codes[q]), int(far[q]))
+            w.put(f, more)
+        at = start + n
 
 
 # ---- media columns
@@ -686,6 +822,22 @@ def feature(samples: np.ndarray) -> str:
     return f"rows={n // ROW};mean={total * 1000 // n};var={(squares * n - total * total) * 1000 // (n * n)};step={step * 1000 // n};shares={shares}"
 
 
+def decode_column(df: DataFrame, column: str, into: str = "pixels") -> DataFrame:
+    """``df`` with ``{into}: struct<width:int, height:int, argb:binary>`` in place of ``column`` of lossless WebP files:
+    rows of pixels, each 4 bytes as a little-endian number. Null where there is no file; what isn't one is an error."""
+    names = df.columns
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.struct([("width", pa.int32()), ("height", pa.int32()), ("argb", pa.binary())])
+        for b in it:
+            found = [None if raw is None else decode(raw) for raw in b.column(column).to_pylist()]
+            shown = [None if p is None else {"width": p.shape[1], "height": p.shape[0], "argb": p.astype("<u4").tobytes()} for p in found]
+            yield pa.RecordBatch.from_arrays([pa.array(shown, kind) if n == column else b.column(n) for n in names], [into if n == column else n for n in names])
+
+    fields = [f"`{into}` struct<width:int,height:int,argb:binary>" if n == column else f"`{n}` {k}" for n, k in df.dtypes]
+    return df.mapInArrow(run, ", ".join(fields))
+
+
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 

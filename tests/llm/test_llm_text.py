@@ -1,6 +1,8 @@
 """Operators on single texts: toxicity, packing, token counts, HTML, WebP."""
 
 import hashlib
+import base64
+import itertools
 import math
 import random
 import zlib
@@ -313,10 +315,14 @@ def test_counts_of_documents(spark):
 
 
 def test_labelled_pages_are_learned():
-    for page in html_extract.LABELLED:
+    right = total = 0
+    for page in html_extract.labelled():
         found = html_extract.blocks(page)
         rows = html_extract.features(found).tolist()
-        assert [html_extract._is_main(r, html_extract.tree()) for r in rows] == [b.text[0] == "+" for b in found]
+        right += sum(html_extract._is_main(r, html_extract.tree()) == (b.text[0] == "+") for b, r in zip(found, rows, strict=True))
+        total += len(found)
+    assert right >= 0.98 * total
+    assert html_extract.tree().feature in (0, 1)  # words or links, not names
 
 
 PAGES = [
@@ -325,6 +331,11 @@ PAGES = [
     ("<body><header>Site name</header><main><p>Short.</p></main><div class='cookie-banner'>We use cookies on this page, and many of them for a long time to come.</div></body>", "Short."),
     ("<article><p>a < b and c > d</p><p>x&nbsp;y&amp", "a < b and c > d x y&"),
     ("<article><p>unclosed <b>bold<p>next <!-- never ends", "unclosed bold next"),
+    ("<nav><a href=/>Home</a></nav><article><h1>A case</h1><p>It began in the spring of a wet year, and went on for eleven more.</p><div class='legal-history'><p>The court of the town heard it first, and sent it on to the next.</p></div><p>It ended there.</p></article><footer>All rights reserved</footer>", "A case It began in the spring of a wet year, and went on for eleven more. The court of the town heard it first, and sent it on to the next. It ended there."),
+    ("<div class=post><h1>Pills</h1><p>They were white and small, and he took one each morning with his tea.</p><div class='side-effects'><p>He slept badly, and said so, but not to the doctor.</p></div></div><div id=xq7><a href=/a>More of this</a></div>", "Pills They were white and small, and he took one each morning with his tea. He slept badly, and said so, but not to the doctor."),
+    ("<html><head><title>T</title><meta charset=utf-8><body><nav><a href=/>Home</a> <a href=/b>More</a></nav><article><p>The head was never closed, and still the page is read to its end.</p></article>", "The head was never closed, and still the page is read to its end."),
+    ("<div class='content-sidebar-wrap no-sidebar'><article><p>What stands in a wrapper of any name is read all the same, and kept.</p><p>Last.</p></article></div>", "What stands in a wrapper of any name is read all the same, and kept. Last."),
+    ("<div class=a1><a href=/1>One</a> <a href=/2>Two</a></div><div class=b2><h1>Names that say nothing</h1><p>A page whose classes were made up by a machine still has paragraphs, and these are long.</p><p>This one is long as well, since it goes on about the first for a line or more.</p></div><div class=c3><a href=/3>Privacy</a> <a href=/4>Terms of use</a></div>", "Names that say nothing A page whose classes were made up by a machine still has paragraphs, and these are long. This one is long as well, since it goes on about the first for a line or more."),
     (None, ""),
     ("", ""),
     ("<nav>only</nav>", ""),
@@ -400,6 +411,68 @@ def test_code_lengths_are_bounded():
 
 
 @pytest.mark.parametrize("text", [None, "", "a", "ab" * 40, "x" * (2 << 20), "€" * 1000, "".join(chr(32 + i * i % 90) for i in range(70_000))])
+def kinds_of(media):
+    """Transforms of a picture, and whether it has copies."""
+    bits = webp.Bits(media[21:])
+    bits.read(32)
+    found = []
+    while bits.read(1):
+        kind = bits.read(2)
+        found.append(kind)
+        if kind == webp.PREDICTOR:
+            b = bits.read(3) + 2
+            webp._read_pixels(bits, 1, -(-(int.from_bytes(media[21:25], "little") >> 14 & 16383) // (1 << b)) or 1, False)
+        elif kind == webp.PALETTE:
+            webp._read_pixels(bits, bits.read(8) + 1, 1, False)
+    return found
+
+
+@pytest.mark.parametrize(("text", "kinds"), [
+    ("".join(random.Random(2).choices(("abcd", "dcab", "bbda", "ccab", "badc", "acdb", "dbca"), k=900)), [webp.PALETTE]),
+    ("".join(chr(33 + (i * 7) % 90) for i in range(64)) * 3 + "x" * 5, [webp.SUBTRACT_GREEN]),
+    (bytes(x % 128 for x in itertools.accumulate(random.Random(4).choices((1, 2, 3), k=6400))).decode(), [webp.SUBTRACT_GREEN, webp.PREDICTOR]),
+    ("some words that are told, " * 40, [webp.SUBTRACT_GREEN]),
+])
+def test_pictures_use_what_fits(text, kinds):
+    n, media = webp.store(text)
+    assert webp.read_back(media).tobytes()[:n] == text.encode()
+    assert kinds_of(media) == kinds
+    pixels = next(webp.pictures(media))
+    c = pixels.view(np.uint8).reshape(-1, 4)
+    assert (c[:, 0] == c[:, 1]).all() and (c[:, 1] == c[:, 2]).all() and (c[:, 3] == 255).all()
+
+
+def test_copies():
+    rng = random.Random(3)
+    for _ in range(200):
+        part = "".join(rng.choice("ab c") for _ in range(rng.randrange(1, 90)))
+        text = (part * rng.randrange(1, 200) + "".join(rng.choice("abcdef gh") for _ in range(rng.randrange(50))) + part).encode()
+        end = 0
+        for at, n, back in webp.copies(text):
+            assert at >= end and 3 <= n <= webp.LONGEST and 0 < back <= at
+            assert all(text[at + k] == text[at + k - back] for k in range(n))
+            end = at + n
+        media = webp.store(text.decode())[1]
+        assert webp.read_back(media).tobytes()[: len(text)] == text
+    assert len(webp.store("the same again, " * 5000)[1]) < 300
+
+
+def test_file_of_another_encoder():
+    """The one-pixel lossless file that browsers are widely tested with: prefix codes and sizes as others write them."""
+    raw = base64.b64decode("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA==")
+    assert webp.decode(raw).shape == (1, 1)
+
+
+def test_column_of_files(spark):
+    rng = np.random.default_rng(5)
+    pixels = [rng.integers(0, 1 << 32, (h, w), dtype=np.uint64).astype(np.uint32) for h, w in ((1, 1), (3, 5), (8, 2))]
+    rows = [(i, bytearray(webp.encode(p, ((webp.SUBTRACT_GREEN,),), 4, True))) for i, p in enumerate(pixels)] + [(9, None)]
+    got = {r.i: r.pixels for r in webp.decode_column(spark.createDataFrame(rows, "i long, file binary").repartition(2), "file").collect()}
+    assert got[9] is None
+    for i, p in enumerate(pixels):
+        assert (got[i].width, got[i].height, bytes(got[i].argb)) == (p.shape[1], p.shape[0], p.astype("<u4").tobytes())
+
+
 def test_store(text):
     n, media = webp.store(text)
     raw = (text or "").encode()
