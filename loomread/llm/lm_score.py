@@ -5,7 +5,8 @@ document. Rows are packed so that the shuffle stays small: a task explodes a bat
 adds up equal ones, and sends each range of hashes as one row of sorted differences (``bucket, batch, order``). A bucket
 adds up its counts and answers each batch with the counts in the batch's own order; the batch's texts meet these answers
 in a cogroup by batch, where each position takes the longest n-gram that was seen and the positions are summed by
-document.
+document. A batch sends at most a row for each of its distinct n-grams, and one row for many while there are fewer
+buckets: work and rows grow with the text, not with buckets times batches.
 
 A word is a run of characters other than space and bytes 9-13, with A-Z in lower case. An n-gram of two or more words is
 seen if it occurs ``MIN_COUNT`` times in the corpus at least (once is the document itself). With ``ORDER`` 3:
@@ -70,7 +71,7 @@ def ngram_hashes(texts: list[bytes], order: int, known: _Words) -> tuple[np.ndar
             before = np.concatenate((np.zeros(1, np.uint64), out_full[:-1]))
             h = before * _MIX[0] + words
         out_full = _mixed(h + np.uint64(n))
-        out.append(np.where(place >= n - 1, (out_full >> np.uint64(64 - HASH_BITS)) | np.uint64(1), np.uint64(0)))
+        out.append(np.where(place >= n - 1, np.maximum(out_full >> np.uint64(64 - HASH_BITS), np.uint64(1)), np.uint64(0)))
     return sizes, out
 
 
@@ -120,16 +121,16 @@ def scores(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, back
     rows = with_row_key(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "__lr_f", "__lr_i")
     size = docs.select(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     buckets = max(8, size // 5 * order // BUCKET_NGRAMS)
-    edges = np.array([i * (1 << HASH_BITS) // buckets for i in range(1, buckets)], np.uint64)
 
     def explode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
         for name, _, texts in _batches(it):
             for n, h in enumerate(ngram_hashes(texts, order, known)[1], 1):
                 distinct, count = _distinct(h)
-                cuts = np.concatenate(([0], np.searchsorted(distinct, edges), [len(distinct)]))
-                at = [i for i in range(buckets) if cuts[i] < cuts[i + 1]]
-                part = lambda x: [x[cuts[i] : cuts[i + 1]] for i in at]  # noqa: B023, E731
+                bucket = ((distinct >> np.uint64(HASH_BITS - 32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+                cuts = np.concatenate((np.flatnonzero(np.diff(bucket, prepend=-1)), [len(distinct)]))  # only the buckets that it has
+                at = bucket[cuts[:-1]].tolist()
+                part = lambda x: [x[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]  # noqa: B023, E731
                 hashes = [_packed(np.diff(x, prepend=np.uint64(0))) if len(x) < 2 else x[:1].tobytes() + _packed(np.diff(x)) for x in part(distinct)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(at, pa.int32()), pa.array([name] * len(at), pa.string()), pa.array([n] * len(at), pa.int32()), pa.array([len(x) for x in part(distinct)], pa.int32()), pa.array(hashes, pa.binary()), pa.array([_packed(x) for x in part(count)], pa.binary())],
