@@ -2,8 +2,9 @@
 
 A document's ids are cut into full windows; what is left of it goes to the open window whose choice makes the sum of
 squared counts of open windows by fill level least. The counts stand in an array over levels. Each task packs its own
-partition; what it holds is bounded: the open windows, at most ``MAX_OPEN``, are cut anew when there are more and at the
-end, into full windows and one rest that is cut at powers of two, so that no window needs padding.
+partition; what it holds is bounded: when there are more than ``MAX_OPEN`` open windows, and at the end, the least filled
+ones are dealt out again, piece by piece, to the others, by the same rule and cut where no other window has room. What is
+left is one window, which is cut at powers of two, so that none needs padding.
 
 Defined results: a null or empty text is the closing id alone; rows are packed as they come, also repeated ones; an
 empty table gives an empty result; other columns are ignored.
@@ -73,8 +74,8 @@ class Levels:
         self.count = np.zeros(window + 1, np.int64)
         self.open: list[list[int]] = [[] for _ in range(window)]
 
-    def place(self, size: int) -> tuple[int, int | None]:
-        """The level to put ``size`` ids on, and the open window taken from there (None: a new one).
+    def place(self, size: int, new: bool = True) -> tuple[int, int | None]:
+        """The level to put ``size`` ids on, and the open window taken from there (None: a new one, only with ``new``).
 
         Moving a window from level h to h + size changes the sum of squares by 2 (N[h + size] - N[h]) + 2; a new one, and
         one that becomes full, has only the one end. Of equal choices the fullest window is taken.
@@ -84,12 +85,22 @@ class Levels:
         gain[top] = 0  # full windows aren't counted
         gain[1:] += 1 - 2 * n[1 : top + 1]
         gain[1:][n[1 : top + 1] == 0] = np.iinfo(np.int64).max
+        if not new:
+            gain[0] = np.iinfo(np.int64).max
         h = top - int(gain[::-1].argmin())
         if h == 0:
             return 0, None
         n[h] -= 1
         return h, self.open[h].pop()
 
+    def least(self) -> int:
+        """The lowest level with an open window; 0 if there is none."""
+        return int((self.count[1:] > 0).argmax()) + 1 if self.count.any() else 0
+
+    def take(self, level: int) -> int:
+        self.count[level] -= 1
+        return self.open[level].pop()
+
     def put(self, level: int, which: int) -> None:
         if level < self.window:
             self.count[level] += 1
@@ -100,22 +111,45 @@ def pieces(docs: Iterator[tuple[int | None, np.ndarray]], first: int, window: in
     """``doc_id, start, ids, doc_tokens, sequence_id, offset`` of each piece; sequence ids count up from ``first``."""
     levels, held, following = Levels(window), {}, first
 
+    def full(which: int) -> Iterator[tuple]:
+        at = 0
+        for d, start, p, t in held.pop(which):
+            yield d, start, p, t, which, at
+            at += len(p)
+
     def drained() -> Iterator[tuple]:
-        nonlocal levels, following
-        rest = [p for _, parts in sorted(held.items()) for p in parts]
-        held.clear()
-        levels = Levels(window)
-        left = sum(len(p[2]) for p in rest)
-        size, fill = 0, 0  # of the window that is being filled
-        for doc_id, start, ids, total in rest:
-            while len(ids):
-                if fill == size:
-                    following, fill = following + bool(size), 0
-                    size = window if left >= window else 1 << (left.bit_length() - 1)
-                part = ids[: size - fill]
-                yield doc_id, start, part, total, following, fill
-                start, ids, fill, left = start + len(part), ids[len(part) :], fill + len(part), left - len(part)
-        following += bool(size)
+        nonlocal following
+        while len(held) > 1:
+            rest, own = held.pop(levels.take(levels.least())), None
+            for doc_id, start, ids, total in rest:
+                while len(ids):
+                    if own is not None or not (low := levels.least()):  # all others are full: the rest is a window again
+                        if own is None:
+                            own, following = following, following + 1
+                        held.setdefault(own, []).append((doc_id, start, ids, total))
+                        break
+                    size = min(len(ids), window - low)
+                    level, which = levels.place(size, False)
+                    held[which].append((doc_id, start, ids[:size], total))
+                    if level + size == window:
+                        yield from full(which)
+                    else:
+                        levels.put(level + size, which)
+                    start, ids = start + size, ids[size:]
+            if own is not None:
+                levels.put(sum(len(p[2]) for p in held[own]), own)
+        if held:
+            rest = held.pop(levels.take(levels.least()))
+            left, size, fill = sum(len(p[2]) for p in rest), 0, 0
+            for doc_id, start, ids, total in rest:
+                while len(ids):
+                    if fill == size:
+                        following, fill = following + bool(size), 0
+                        size = 1 << (left.bit_length() - 1)
+                    part = ids[: size - fill]
+                    yield doc_id, start, part, total, following, fill
+                    start, ids, fill, left = start + len(part), ids[len(part) :], fill + len(part), left - len(part)
+            following += 1
 
     for doc_id, ids in docs:
         total = len(ids)
@@ -133,10 +167,7 @@ def pieces(docs: Iterator[tuple[int | None, np.ndarray]], first: int, window: in
         parts.append(part)
         now = level + total - whole
         if now == window:
-            at = 0
-            for d, start, p, t in held.pop(which):
-                yield d, start, p, t, which, at
-                at += len(p)
+            yield from full(which)
         else:
             levels.put(now, which)
             if len(held) > max_open:
