@@ -18,15 +18,19 @@ from loomread.errors import LinkedReadError
 from loomread.functions import barcodes as B
 from loomread.functions import reads as R
 from loomread.operators import concatenation, counting, detect, exchange, molecules, pairing, recoding, sorting
-from loomread.sinks.alignments import save_bam, save_sam
-from loomread.sinks.fastq import save_fastq
-from loomread.sinks.lines import save_lines
-from loomread.sources.bam import read_alignments, read_header
+from loomread.sinks.alignments import save_bam, save_sam, write_sam_parts
+from loomread.sinks.fastq import save_fastq, write_fastq
+from loomread.sinks.lines import save_lines, write_lines
+from loomread.sources.bam import header_text, read_alignments, read_header
 from loomread.sources.files import check_fastq_paths, check_sam_paths
 from loomread.sources.fastq import read_fastq
 from loomread.sources.whitelist import read_whitelist
 
 
+#: What barcodes are read from where they don't stand in the sequence.
+_HEADS = ["file_idx", "rec_idx", "name", "comment"]
+
+
 def session() -> SparkSession:
     """The session in use, or one of this machine."""
     os.environ.setdefault("PYSPARK_PYTHON", sys.executable)
@@ -36,10 +40,10 @@ def session() -> SparkSession:
     return builder.config("spark.sql.shuffle.partitions", str(os.cpu_count() or 8)).master(os.environ.get("LOOMREAD_MASTER", "local[*]")).getOrCreate()
 
 
-def _parsed(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, str]:
-    """Parsed reads of the command's files, and their chemistry."""
+def _parsed(spark: SparkSession, a: argparse.Namespace, columns: list[str] | None = None) -> tuple[DataFrame, str]:
+    """Parsed reads of the command's files (all columns of the file, or those given), and their chemistry."""
     paths = check_fastq_paths(a.input)
-    reads = read_fastq(spark, *paths)
+    reads = read_fastq(spark, *paths, columns=columns if getattr(a, "chemistry", None) != B.TENX else None)
     chemistry = getattr(a, "chemistry", None) or detect.require(detect.reads_chemistry(reads.where("file_idx = 0")))
     return R.parse(reads, chemistry, paired=len(paths) == 2), chemistry
 
@@ -53,6 +57,11 @@ def _values(df: DataFrame) -> Iterable[str]:
     return (r[0] for r in df.toLocalIterator())
 
 
+def _save(rendered: DataFrame, prefix: str, a: argparse.Namespace, paired: bool = True) -> None:
+    """Rendered reads as files of the command: single ones, or with ``--parts`` directories that the tasks write."""
+    (write_fastq if a.parts else save_fastq)(rendered, prefix, paired)
+
+
 def _own(rows: DataFrame, chemistry: str) -> DataFrame:
     return R.render(rows, chemistry)
 
@@ -61,21 +70,21 @@ def _own(rows: DataFrame, chemistry: str) -> DataFrame:
 
 
 def fq_count(spark: SparkSession, a: argparse.Namespace) -> None:
-    parsed, _ = _parsed(spark, a)
+    parsed, _ = _parsed(spark, a, _HEADS)
     _print(f"{r['barcode']}\t{r['count']}" for r in counting.by_count(counting.count_reads(parsed, a.invalid)).toLocalIterator())
 
 
 def fq_extract(spark: SparkSession, a: argparse.Namespace) -> None:
-    parsed, _ = _parsed(spark, a)
+    parsed, _ = _parsed(spark, a, _HEADS)
     _print(_values(parsed.select("barcode").distinct()))
 
 
 def fq_filter_invalid(spark: SparkSession, a: argparse.Namespace) -> None:
     parsed, chemistry = _parsed(spark, a)
     split = counting.split_invalid_reads(parsed)
-    save_fastq(_own(split.kept, chemistry), a.prefix, len(a.input) == 2)
+    _save(_own(split.kept, chemistry), a.prefix, a, len(a.input) == 2)
     if a.invalid:
-        save_fastq(_own(split.rejected, chemistry), f"{a.prefix}.invalid", len(a.input) == 2)
+        _save(_own(split.rejected, chemistry), f"{a.prefix}.invalid", a, len(a.input) == 2)
 
 
 def fq_filter_singletons(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -84,16 +93,16 @@ def fq_filter_singletons(spark: SparkSession, a: argparse.Namespace) -> None:
     if split.kept.isEmpty():
         sys.stderr.write("no barcode is on more than one read; nothing was written\n")
         return
-    save_fastq(_own(split.kept, chemistry), a.prefix, len(a.input) == 2)
+    _save(_own(split.kept, chemistry), a.prefix, a, len(a.input) == 2)
     if a.singletons:
-        save_fastq(_own(split.rejected, chemistry), f"{a.prefix}.singletons", len(a.input) == 2)
+        _save(_own(split.rejected, chemistry), f"{a.prefix}.singletons", a, len(a.input) == 2)
 
 
 def fq_sample(spark: SparkSession, a: argparse.Namespace) -> None:
     parsed, chemistry = _parsed(spark, a)
     chosen = counting.sample_barcodes(counting.read_barcodes(parsed), a.downsample, a.invalid, a.random_seed)
     save_lines(_values(chosen), f"{a.prefix}.bc")
-    save_fastq(_own(counting.keep_barcodes(parsed, chosen), chemistry), a.prefix, len(a.input) == 2)
+    _save(_own(counting.keep_barcodes(parsed, chosen), chemistry), a.prefix, a, len(a.input) == 2)
 
 
 def _save_map(mapping: DataFrame, path: str) -> None:
@@ -112,7 +121,7 @@ def fq_convert(spark: SparkSession, a: argparse.Namespace) -> None:
     out = recoding.convert(parsed, found, a.target)
     recoding.check_capacity(out.mapping, a.target)
     _save_map(out.mapping, f"{a.prefix}.bc")
-    save_fastq(out.rows, a.prefix, len(paths) == 2)
+    _save(out.rows, a.prefix, a, len(paths) == 2)
 
 
 def fq_standardize(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -121,7 +130,7 @@ def fq_standardize(spark: SparkSession, a: argparse.Namespace) -> None:
     if a.style:
         recoding.check_capacity(out.mapping, a.style)
         _save_map(out.mapping, f"{a.prefix}.bc")
-    save_fastq(out.rows, a.prefix, len(a.input) == 2)
+    _save(out.rows, a.prefix, a, len(a.input) == 2)
 
 
 def fq_sort(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -132,7 +141,10 @@ def fq_sort(spark: SparkSession, a: argparse.Namespace) -> None:
         side = reads if forward is None else reads.where(F.col("forward") == forward)
         name = F.concat(F.col("id"), F.lit("/"), F.when(F.col("forward"), "1").otherwise("2"))
         text = R.fastq_record(name, F.array_join(R.tokens(F.col("comment")), "\t"))
-        save_lines(_values(side.orderBy(*order).select(text)), f"{a.prefix}.R{n}.fq.gz")
+        if a.parts:
+            write_lines(side.select("*", text.alias("value")), f"{a.prefix}.R{n}.fq.gz.parts", order, "gzip")
+        else:
+            save_lines(_values(side.orderBy(*order).select(text)), f"{a.prefix}.R{n}.fq.gz")
 
 
 def fq_spoof_hic(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -140,7 +152,7 @@ def fq_spoof_hic(spark: SparkSession, a: argparse.Namespace) -> None:
         raise LinkedReadError("a forward and a reverse file are needed")
     parsed, _ = _parsed(spark, a)
     pairs = pairing.spoof_pairs(parsed, a.max_pairs, a.singletons, a.invalid)
-    save_fastq(pairing.pair_reads(pairs), a.prefix)
+    _save(pairing.pair_reads(pairs), a.prefix, a)
 
 
 def fq_ncbi(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -151,8 +163,13 @@ def fq_ncbi(spark: SparkSession, a: argparse.Namespace) -> None:
 # ---- sam
 
 
-def _emit(alns: DataFrame, header: dict, sam: bool, order: list | None = None, out=None) -> None:  # noqa: ANN001
-    (save_sam if sam else save_bam)(alns, header, out or sys.stdout.buffer, order or ["file_idx", "rec_idx"])
+def _emit(alns: DataFrame, header: dict, a: argparse.Namespace, order: list | None = None, out=None) -> None:  # noqa: ANN001
+    order = order or ["file_idx", "rec_idx"]
+    if a.parts and out is None:
+        write_sam_parts(alns, a.parts, order)
+        save_lines(header_text(header).splitlines(), f"{a.parts.rstrip('/')}.header")
+    else:
+        (save_sam if a.sam else save_bam)(alns, header, out or sys.stdout.buffer, order)
 
 
 def sam_count(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -180,16 +197,16 @@ def sam_filter_singletons(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def _split(split: counting.Split, a: argparse.Namespace, other: str | None) -> None:
     header = read_header(a.input)
-    _emit(split.kept, header, a.sam)
+    _emit(split.kept, header, a)
     if other:
         with open(other, "wb") as f:
-            _emit(split.rejected, header, a.sam, out=f)
+            _emit(split.rejected, header, a, out=f)
 
 
 def sam_sample(spark: SparkSession, a: argparse.Namespace) -> None:
     alns = read_alignments(spark, a.input)
     chosen = counting.sample_barcodes(counting.alignment_barcodes(alns), a.downsample, a.invalid, a.random_seed)
-    _emit(counting.keep_barcodes(alns, chosen, "bx"), read_header(a.input), a.sam)
+    _emit(counting.keep_barcodes(alns, chosen, "bx"), read_header(a.input), a)
 
 
 def sam_sort(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -198,7 +215,7 @@ def sam_sort(spark: SparkSession, a: argparse.Namespace) -> None:
     contigs = {s["SN"]: i for i, s in enumerate(header.get("SQ", []))}
     rank = F.element_at(F.create_map(*[F.lit(x) for p in contigs.items() for x in p]), F.col("rname")) if contigs else F.col("rname")
     tag, _, *rest = sorting.alignments_order(a.tag)
-    _emit(alns, header | {"HD": [{"VN": "1.6", "SO": "unknown"}]}, a.sam, [tag, rank.asc_nulls_last(), *rest])
+    _emit(alns, header | {"HD": [{"VN": "1.6", "SO": "unknown"}]}, a, [tag, rank.asc_nulls_last(), *rest])
 
 
 def sam_standardize(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -206,7 +223,7 @@ def sam_standardize(spark: SparkSession, a: argparse.Namespace) -> None:
     if a.style:
         recoding.check_capacity(out.mapping, a.style)
         _save_map(out.mapping, f"{a.input}.bc")
-    _emit(out.rows, read_header(a.input), a.sam)
+    _emit(out.rows, read_header(a.input), a)
 
 
 def sam_assign_mi(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -214,19 +231,19 @@ def sam_assign_mi(spark: SparkSession, a: argparse.Namespace) -> None:
     if not detect.is_standard(alns).first()["standard"]:
         raise LinkedReadError("no record has both BX and VX tags; standardize the file first")
     chemistry = detect.require(detect.alignments_chemistry(alns))
-    _emit(molecules.assign_molecules(alns, chemistry, a.cutoff, a.keep_unmapped), read_header(a.input), a.sam)
+    _emit(molecules.assign_molecules(alns, chemistry, a.cutoff, a.keep_unmapped), read_header(a.input), a)
 
 
 def sam_concat(spark: SparkSession, a: argparse.Namespace) -> None:
     check_sam_paths(a.input)
     out = concatenation.concat_alignments(read_alignments(spark, *a.input), a.mi, by_molecule=bool(a.mi))
-    _emit(out, concatenation.merged_header(read_header(a.input[0]), " ".join(["loomread", *sys.argv[1:]])), a.sam)
+    _emit(out, concatenation.merged_header(read_header(a.input[0]), " ".join(["loomread", *sys.argv[1:]])), a)
 
 
 def sam_ncbi(spark: SparkSession, a: argparse.Namespace) -> None:
     reads = exchange.to_reads(read_alignments(spark, a.input))
     rows = reads.withColumns({"id": F.col("name"), "rest": F.col("comment"), "forward": F.col("file_idx") == 0})
-    save_fastq(rows, a.prefix)
+    _save(rows, a.prefix, a)
 
 
 # ---- arguments
@@ -248,6 +265,7 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("prefix")
         if sam_out:
             p.add_argument("-S", "--sam", action="store_true", help="write SAM instead of BAM")
+            p.add_argument("--parts", help="a directory of SAM parts, each written by the task that has it; its header beside it")
         p.add_argument("input", **({"nargs": "+"} if many else {}))
         return p
 
@@ -276,6 +294,7 @@ def parser() -> argparse.ArgumentParser:
     add(fq, "standardize", fq_standardize, prefix=True, many=True).add_argument("-s", "--style", **style)
     for p in fq.choices.values():
         p.add_argument("--chemistry", choices=B.CHEMISTRIES, help="instead of detecting it")
+        p.add_argument("--parts", action="store_true", help="write directories of parts, each by the task that has it")
 
     p = add(sam, "assign-mi", sam_assign_mi, sam_out=True)
     p.add_argument("-c", "--cutoff", type=int, default=0)
@@ -285,7 +304,7 @@ def parser() -> argparse.ArgumentParser:
     add(sam, "extract", sam_extract)
     add(sam, "filter-invalid", sam_filter_invalid, sam_out=True).add_argument("-i", "--invalid")
     add(sam, "filter-singletons", sam_filter_singletons, sam_out=True).add_argument("-s", "--singletons")
-    add(sam, "ncbi", sam_ncbi, prefix=True)
+    add(sam, "ncbi", sam_ncbi, prefix=True).add_argument("--parts", action="store_true")
     amount(add(sam, "sample", sam_sample, sam_out=True), 0.0)
     add(sam, "sort", sam_sort, sam_out=True, first=tag)
     add(sam, "standardize", sam_standardize, sam_out=True).add_argument("-s", "--style", **style)

@@ -15,6 +15,7 @@ from loomread.errors import LinkedReadError
 from loomread.functions.alignments import promoted
 from loomread.schema import ALN
 from loomread.sources.files import check_sam_paths, open_bytes
+from loomread.sources.splits import Span, as_dict, lines_of, spans
 
 _ROWS = 4096
 # Fixed values of the format: operations, bases, and the numbers that tags hold.
@@ -112,17 +113,17 @@ def bam_records(path: str) -> Iterator[tuple]:
             yield qname, flag, contig(ref), pos, mapq, cigar or "*", rnext, next_pos, tlen, seq or "*", text, tags
 
 
-def sam_records(path: str) -> Iterator[tuple]:
-    """Fields of each record of a SAM file, positions from 0."""
-    with open_bytes(path) as f:
-        for line in f:
-            if line[:1] == b"@" or not line.strip():
-                continue
-            p = line.rstrip(b"\r\n").decode().split("\t")
-            if len(p) < 11:
-                raise LinkedReadError(f"not a SAM record in {path}: {p[0][:80]!r}")
-            tags = [tuple(t.split(":", 2)) for t in p[11:]]
-            yield p[0], int(p[1]), None if p[2] == "*" else p[2], int(p[3]) - 1, int(p[4]), p[5], p[6], int(p[7]) - 1, int(p[8]), p[9], p[10], tags
+def sam_records(span: Span, header_lines: int) -> Iterator[tuple]:
+    """Place and fields of each record of a SAM file that begins in a span, positions from 0."""
+    for n, f in lines_of(span, 1, header_lines):
+        line = f.readline()
+        if not line.strip():
+            continue
+        p = line.rstrip(b"\r\n").decode().split("\t")
+        if len(p) < 11:
+            raise LinkedReadError(f"not a SAM record in {span.path}: {p[0][:80]!r}")
+        tags = [tuple(t.split(":", 2)) for t in p[11:]]
+        yield n, p[0], int(p[1]), None if p[2] == "*" else p[2], int(p[3]) - 1, int(p[4]), p[5], p[6], int(p[7]) - 1, int(p[8]), p[9], p[10], tags
 
 
 def read_header(path: str) -> Header:
@@ -138,36 +139,39 @@ def read_header(path: str) -> Header:
         return parse_header("".join(lines))
 
 
-class _File(InputPartition):
-    def __init__(self, path: str, file_idx: int) -> None:
-        self.path, self.file_idx = path, file_idx
+def _header_lines(path: str) -> int:
+    with open_bytes(path) as f:
+        return next((n for n, line in enumerate(f) if line[:1] != b"@"), 0)
+
+
+class _Part(InputPartition):
+    def __init__(self, span: Span, file_idx: int) -> None:
+        self.span, self.file_idx = span, file_idx
 
 
 class AlignmentReader(DataSourceReader):
-    def __init__(self, paths: list[str]) -> None:
-        self.paths = paths
+    def __init__(self, files: list[list[dict]]) -> None:
+        self.files = files
 
     def partitions(self) -> list[InputPartition]:
-        return [_File(p, i) for i, p in enumerate(self.paths)]
+        return [_Part(Span(**s), i) for i, own in enumerate(self.files) for s in own]
 
-    def read(self, partition: _File) -> Iterator[pa.RecordBatch]:  # type: ignore[override]
+    def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:  # type: ignore[override]
         from pyspark.sql.pandas.types import to_arrow_schema
 
         schema = to_arrow_schema(ALN)
+        path = partition.span.path
         rows: list[tuple] = []
-        at = 0
 
         def batch() -> pa.RecordBatch:
-            n = len(rows)
             cols = list(zip(*rows, strict=True))
-            tags = [[{"tag": t, "type": k, "value": v} for t, k, v in r] for r in cols[11]]
-            values = [[partition.file_idx] * n, range(at - n, at), *cols[:11], tags]
+            tags = [[{"tag": t, "type": k, "value": v} for t, k, v in r] for r in cols[12]]
+            values = [[partition.file_idx] * len(rows), *cols[:12], tags]
             rows.clear()
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, schema, strict=True)], schema.names)
 
-        for r in (bam_records if partition.path.lower().endswith(".bam") else sam_records)(partition.path):
+        for r in ((n, *x) for n, x in enumerate(bam_records(path))) if path.lower().endswith(".bam") else sam_records(partition.span, _header_lines(path)):
             rows.append(r)
-            at += 1
             if len(rows) >= _ROWS:
                 yield batch()
         if rows:
@@ -175,7 +179,7 @@ class AlignmentReader(DataSourceReader):
 
 
 class AlignmentSource(DataSource):
-    """Options: ``paths``, a JSON list."""
+    """Options: ``files``, a JSON list of lists of spans."""
 
     @classmethod
     def name(cls) -> str:
@@ -185,11 +189,20 @@ class AlignmentSource(DataSource):
         return ALN
 
     def reader(self, schema) -> AlignmentReader:  # noqa: ANN001
-        return AlignmentReader(json.loads(self.options["paths"]))
+        return AlignmentReader(json.loads(self.options["files"]))
+
 
+def read_alignments(spark: SparkSession, *paths: str, step: int | None = None) -> DataFrame:
+    """Records of SAM or BAM files in file order, with tags, flags and spans as columns.
 
-def read_alignments(spark: SparkSession, *paths: str) -> DataFrame:
-    """Records of SAM or BAM files in file order, with tags, flags and spans as columns; one task a file."""
+    Large SAM files are read range by range, by a task each; a BAM file's records can't be told from a place within it, so
+    that it is read by one.
+    """
     check_sam_paths(list(paths))
     spark.dataSource.register(AlignmentSource)
-    return promoted(spark.read.format("loomread_alignments").option("paths", json.dumps(list(paths))).load())
+    text = [p for p in paths if not p.lower().endswith(".bam")]
+    cut = {p: [] for p in paths}
+    for s in spans(spark, list(dict.fromkeys(text)), step):
+        cut[s.path].append(as_dict(s))
+    own = [cut[p] or [as_dict(Span(p))] for p in paths]
+    return promoted(spark.read.format("loomread_alignments").option("files", json.dumps(own)).load())

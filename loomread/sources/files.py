@@ -4,21 +4,28 @@ from __future__ import annotations
 
 import gzip
 import io
+import os
 import re
 from typing import BinaryIO
 
 from loomread.errors import LinkedReadError
 
 
-def open_bytes(path: str) -> BinaryIO:
-    """The decompressed bytes of a file; gzip is told by its first two bytes (also BGZF and other member files)."""
+def open_raw(path: str) -> tuple[BinaryIO, int]:
+    """The stored bytes of a file, with ``seek``, and how many there are."""
     if re.match(r"[a-z][a-z0-9+.-]*://", path, re.I) and not path.startswith("file://"):
         from pyarrow import fs
 
         store, inner = fs.FileSystem.from_uri(path)
-        raw: BinaryIO = io.BufferedReader(store.open_input_stream(inner, compression=None))  # type: ignore[arg-type]
-    else:
-        raw = open(path.removeprefix("file://"), "rb")  # noqa: SIM115
+        f = store.open_input_file(inner)
+        return io.BufferedReader(f), f.size()  # type: ignore[arg-type]
+    raw = open(path.removeprefix("file://"), "rb")  # noqa: SIM115
+    return raw, os.fstat(raw.fileno()).st_size
+
+
+def open_bytes(path: str) -> BinaryIO:
+    """The decompressed bytes of a file; gzip is told by its first two bytes (also BGZF and other member files)."""
+    raw, _ = open_raw(path)
     head = raw.peek(2)[:2]  # type: ignore[attr-defined]
     return gzip.GzipFile(fileobj=raw) if head == b"\x1f\x8b" else raw  # type: ignore[return-value]
 

@@ -12,7 +12,7 @@ from loomread import cli
 from loomread.errors import LinkedReadError, WhitelistError
 from loomread.functions import alignments as A
 from loomread.operators import molecules
-from loomread.sinks.alignments import save_bam, save_sam, write_sam_parts
+from loomread.sinks.alignments import END, bgzf, save_bam, save_sam, write_sam_parts
 from loomread.sinks.fastq import write_fastq
 from loomread.sources.bam import header_text, parse_header, read_alignments, read_header
 from loomread.sources.files import check_fastq_paths, check_sam_paths
@@ -52,6 +52,38 @@ def test_fastq_source(spark, fastq):
     assert (row.name, row.comment, row.seq, row.qual) == ("r4#1_1_2", "2:N:0:CAG", "TTTT", "IIII")
 
 
+def blocks(data, size=300):
+    return b"".join(bgzf(data[i : i + size]) for i in range(0, len(data), size)) + END
+
+
+@pytest.mark.parametrize("kind", ["plain", "bgzf", "gzip", "no last line end", "crlf"])
+def test_one_file_read_by_several_tasks(spark, tmp_path, kind):
+    text = "".join(f"@r{i}#{i}_1_2 1:N:0:CAG\n{'ACGT' * (i % 9 + 1)}\n+\n{'F@+@' * (i % 9 + 1)}\n" for i in range(400))
+    text = text.replace("\n", "\r\n") if kind == "crlf" else text.rstrip() if kind == "no last line end" else text
+    path = str(tmp_path / ("x.fq.gz" if kind in ("bgzf", "gzip") else "x.fq"))
+    Path(path).write_bytes(blocks(text.encode()) if kind == "bgzf" else gzip.compress(text.encode()) if kind == "gzip" else text.encode())
+    want = read_fastq(spark, path).orderBy("rec_idx").collect()
+    assert [r.rec_idx for r in want] == list(range(400)) and want[7].qual == "F@+@" * 8
+    for step in (500, 777, 5000):
+        df = read_fastq(spark, path, step=step)
+        assert (df.rdd.getNumPartitions() > 1) == (kind != "gzip" and 2 * step < Path(path).stat().st_size)
+        assert df.orderBy("rec_idx").collect() == want
+    narrow = read_fastq(spark, path, columns=["rec_idx", "name"], step=777)
+    assert narrow.columns == ["rec_idx", "name"] and narrow.orderBy("rec_idx").collect()[5].name == "r5#5_1_2"
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_one_sam_file_read_by_several_tasks(spark, tmp_path, packed):
+    text = "@HD\tVN:1.6\n@SQ\tSN:c1\tLN:9000\n" + "".join(f"q{i}\t0\tc1\t{i + 1}\t60\t4M\t*\t0\t0\tACGT\tFFFF\tBX:Z:A01C01B01D{i % 97:02d}\n" for i in range(300))
+    path = str(tmp_path / "x.sam")
+    Path(path).write_bytes(blocks(text.encode()) if packed else text.encode())
+    want = read_alignments(spark, path).orderBy("rec_idx").collect()
+    assert [r.rec_idx for r in want] == list(range(300))
+    for step in (400, 1111):
+        df = read_alignments(spark, path, step=step)
+        assert df.rdd.getNumPartitions() > 1 and df.orderBy("rec_idx").collect() == want
+
+
 def test_path_checks(tmp_path):
     for bad in (["a.fq", "a.fq"], ["a.txt"], ["a.fq"] * 3, []):
         with pytest.raises(LinkedReadError):
@@ -209,3 +241,17 @@ def test_stream_molecules(spark, tmp_path):
 def test_with_tags_helper(spark):
     df = spark.range(1).select(A.with_tags(F.lit(None).cast("array<struct<tag:string,type:string,value:string>>"), (None, A.tag("BX", "Z", F.lit("q")))).alias("t"))
     assert [t.value for t in df.first().t] == ["q"]
+
+
+def test_commands_write_parts(spark, fastq, tmp_path):
+    assert cli.main(["fastq", "filter-invalid", "--parts", str(tmp_path / "p"), *fastq]) == 0
+    assert cli.main(["fastq", "filter-invalid", str(tmp_path / "q"), *fastq]) == 0
+    for n in (1, 2):
+        parts = [x for p in sorted((tmp_path / f"p.R{n}.fq.gz.parts").glob("part-*.gz")) for x in lines(p)]
+        assert parts == lines(tmp_path / f"q.R{n}.fq.gz")
+    sam = tmp_path / "x.sam"
+    sam.write_text(SAM)
+    assert cli.main(["sam", "sort", "--parts", str(tmp_path / "sorted"), "BX", str(sam)]) == 0
+    got = [x for p in sorted((tmp_path / "sorted").glob("part-*")) for x in lines(p)]
+    assert sorted(x.split("\t")[0] for x in got) == ["a", "b", "c", "d"]
+    assert lines(tmp_path / "sorted.header")[0].startswith("@HD")
