@@ -3,10 +3,11 @@
 Each token scores its log-odds for toxic documents under nested Dirichlet priors (a word leans on its 6-letter
 beginning, that on the 5-letter one, then 4 letters, then the base rate), less a drift, so that neutral text scores
 negative on average. The odds come from documents that have a word, however often, so a word that was used ``gap`` tokens
-before tells little anew: its log-odds count by 1 - exp(-gap / ``BURST``). A linear-time scan finds all maximal scoring segments (Ruzzo and Tompa). Scores are calibrated as extreme values (Karlin and Altschul): lambda solves sum p(s) exp(lambda s) = 1 over clean text, ln K comes
-from the highest segments of clean documents, and a segment of score S in a text of n tokens has the normalised score
-lambda S - ln(K n), its -ln(E). A logistic curve over the best and the summed normalised scores, of which each counts as ``SURE``
-from there on, gives the score.
+before tells little anew: its log-odds count by 1 - exp(-gap / ``BURST``). A linear-time scan finds all maximal scoring
+segments (Ruzzo and Tompa). Scores are calibrated as extreme values (Karlin and Altschul): lambda solves sum p(s)
+exp(lambda s) = 1 over clean text, ln K comes from the highest segments of clean documents, and a segment of score S in
+a text of n tokens has the normalised score lambda S - ln(K n), its -ln(E). A logistic curve over the best and the summed
+normalised scores, of which each counts as ``SURE`` from there on, gives the score.
 
 Bounds: the model is fitted on at most ``FIT_ROWS`` labelled rows, chosen by a hash of their ids; all of their words and
 beginnings of words that two documents have are in it. All documents are scored, whole texts each.
@@ -26,6 +27,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,28 +92,69 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, h - lo) for a, b, lo, h in zip(first, last, low, high, strict=True)]
 
 
+class Odds:
+    """Log-odds by unit, in 12 bytes each: sorted 64-bit hashes and values."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        by = np.argsort(keys)
+        self.keys, self.values = keys[by], values[by].astype(np.float32)
+
+    @classmethod
+    def of(cls, odds: dict[str, float]) -> Odds:
+        return cls(_hashes(list(odds)), np.array(list(odds.values()), float))
+
+    def get(self, asked: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Values of units, and which of them are known."""
+        h = _hashes(asked)
+        if not len(self.keys):
+            return np.zeros(len(h)), np.zeros(len(h), bool)
+        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        return self.values[at].astype(float), self.keys[at] == h
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, Odds) and np.array_equal(self.keys, other.keys) and np.array_equal(self.values, other.values)
+
+
+def _hashes(asked: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(u) for u in asked), np.uint64, len(asked))
+
+
 @dataclass
 class Model:
     """Log-odds of words and beginnings, the calibration and the curve. As large as the sample's vocabulary."""
 
-    odds: dict[str, float] = field(default_factory=dict)
+    odds: Odds = field(default_factory=lambda: Odds.of({}))
     lam: float = 1.0
     ln_k: float = 0.0
     curve: tuple[float, ...] | None = None  # constant, weights of the features
     rate: float = 0.0
     _known: dict[str, float] = field(default_factory=dict)
 
-    def token(self, word: str) -> float:
-        s = self._known.get(word)
-        if s is None:
-            s = next((self.odds[u] for u in (word, *reversed(units(word)[1:])) if u in self.odds), 0.0) - DRIFT
-            if len(self._known) > 400_000:
-                self._known.clear()
-            self._known[word] = s
-        return s
+    def __post_init__(self) -> None:
+        if isinstance(self.odds, dict):
+            self.odds = Odds.of(self.odds)
+
+    def _learn(self, words: list[str]) -> None:
+        """Scores of words: by the word itself, else by its longest beginning that is known."""
+        if len(self._known) > 200_000:
+            self._known.clear()
+        for k in (None, *reversed(BEGINNINGS)):
+            asked = [w if k is None else f"{k}:{w[:k]}" for w in words]
+            values, found = self.odds.get(asked)
+            found = found.tolist()
+            self._known.update((w, v - DRIFT) for w, v, hit in zip(words, values.tolist(), found, strict=True) if hit)
+            words = [w for w, hit in zip(words, found, strict=True) if not hit]
+        self._known.update((w, -DRIFT) for w in words)
 
     def scores(self, words: list[str]) -> np.ndarray:
-        out = np.array([self.token(w) for w in words], float)
+        if new := [w for w in set(words) if w not in self._known]:
+            self._learn(new)
+            if any(w not in self._known for w in words):  # forgotten just now
+                self._learn(list(set(words)))
+        out = np.array([self._known[w] for w in words], float)
         last: dict[str, int] = {}
         for i in np.flatnonzero(out > -DRIFT).tolist():
             before = last.get(words[i])
@@ -137,21 +180,22 @@ class Model:
         return 1 / (1 + math.exp(-max(min(z, 30.0), -30.0)))
 
 
-def log_odds(counts: dict[str, tuple[int, int]], rate: float) -> dict[str, float]:
-    """Log-odds over the base rate of each unit of ``counts`` (documents that have it: toxic, clean)."""
-    base = math.log(rate / (1 - rate))
-    share: dict[str, float] = {}
-
-    def of(unit: str) -> float:
-        if unit not in share:
-            t, n = counts[unit]
-            beginning = unit.partition(":")
-            word, longest = (beginning[2], len(beginning[2]) - 1) if beginning[1] else (unit, len(unit))
-            parent = next((p for k in reversed(BEGINNINGS) if k <= longest and (p := f"{k}:{word[:k]}") in counts), None)
-            share[unit] = (t + PRIOR * (of(parent) if parent else rate)) / (t + n + PRIOR)
-        return share[unit]
-
-    return {u: math.log(of(u) / (1 - of(u))) - base for u in counts}
+def log_odds(names: list[str], toxic: np.ndarray, clean: np.ndarray, rate: float) -> Odds:
+    """Log-odds over the base rate of units that ``toxic`` and ``clean`` documents have. A unit leans on its longest
+    beginning among them; one that no document has is left out."""
+    base, share = math.log(rate / (1 - rate)), {}  # shares of the beginnings, shorter ones first
+    out = np.zeros(len(names))
+    level = np.array([int(u[0]) if u[1:2] == ":" else 9 for u in names], np.int8)
+    for k in (*BEGINNINGS, 9):
+        for i in np.flatnonzero((level == k) & (toxic + clean > 0)).tolist():
+            word = names[i] if k == 9 else names[i][2:]
+            parent = next((share[b] for n in reversed(BEGINNINGS) if n < k and n <= len(word) and (b := f"{n}:{word[:n]}") in share), rate)
+            p = (toxic[i] + PRIOR * parent) / (toxic[i] + clean[i] + PRIOR)
+            if k != 9:
+                share[names[i]] = p
+            out[i] = math.log(p / (1 - p)) - base
+    has = toxic + clean > 0
+    return Odds(_hashes([n for n, own in zip(names, has.tolist(), strict=True) if own]), out[has])
 
 
 def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
@@ -204,17 +248,25 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
 
     n_of = lambda aside, toxic: F.sum(F.when((F.col("toxic") == toxic) & ((F.col("aside") == F.lit(False)) | F.lit(aside)), F.col("n")).otherwise(0))
     counts = rows.mapInArrow(count, "unit string, aside boolean, toxic int, n long").groupBy("unit").agg(n_of(True, 1).alias("t"), n_of(True, 0).alias("c"), n_of(False, 1).alias("t0"), n_of(False, 0).alias("c0"))
-    # all units of two documents or more: as many as the sample's rows bring
-    kept = counts.where(F.col("unit").isNull() | (F.col("t") + F.col("c") >= 2)).collect()
-    total = next(((r["t"], r["c"], r["t0"], r["c0"]) for r in kept if r["unit"] is None), (0, 0, 0, 0))
-    if not total[0] or not total[1]:
-        return Model(rate=total[0] / max(1, total[0] + total[1]))
-    rate = total[0] / (total[0] + total[1])
-    final = Model(log_odds({r["unit"]: (r["t"], r["c"]) for r in kept if r["unit"] is not None}, rate), rate=rate)
-    if not total[2] or not total[3]:
+    # all units of two documents or more, as many as the sample's rows bring; they come in columns
+    kept = counts.where(F.col("unit").isNull() | (F.col("t") + F.col("c") >= 2)).toArrow()
+    names = kept.column("unit").to_pylist()
+    n = {c: kept.column(c).to_numpy() for c in ("t", "c", "t0", "c0")}
+    del kept
+    documents = next((i for i, u in enumerate(names) if u is None), None)
+    total = {c: 0 if documents is None else int(v[documents]) for c, v in n.items()}
+    if not total["t"] or not total["c"]:
+        return Model(rate=total["t"] / max(1, total["t"] + total["c"]))
+    rate = total["t"] / (total["t"] + total["c"])
+    names[documents] = ""
+    for v in (n := {c: v.copy() for c, v in n.items()}).values():
+        v[documents] = 0
+    final = Model(log_odds(names, n["t"], n["c"], rate), rate=rate)
+    if not total["t0"] or not total["c0"]:
         trial = final
     else:
-        trial = Model(log_odds({r["unit"]: (r["t0"], r["c0"]) for r in kept if r["unit"] is not None and r["t0"] + r["c0"]}, rate), rate=rate)
+        trial = Model(log_odds(names, n["t0"], n["c0"], rate), rate=rate)
+    del names, n
     shared = spark.sparkContext.broadcast(trial.odds)
 
     def measure(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
