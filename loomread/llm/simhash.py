@@ -44,7 +44,7 @@ _CHUNK = 65_536
 #: Words of a shingle, fingerprints and bits apart of similar texts; the least similarity in tenths.
 SIMILAR_WORDS, PRINTS, SIMILAR_APART, TENTHS = 5, 4, 7, 8
 #: Cells of up to so many points give all their pairs, unless there are over ``CROWD`` links a point.
-ALL_PAIRS, CROWD = 2048, 8
+ALL_PAIRS, CROWD = 2048, 1
 #: Rows of one text's set in a join; more are dealt out to copies of it.
 SALT = 5_000
 
@@ -285,10 +285,11 @@ def _signatures(keyed: DataFrame) -> DataFrame:
     return written(signed.withColumn("id", F.monotonically_increasing_id()), "signatures")
 
 
-def _with_sets(pairs: DataFrame, sets: DataFrame, side: str, other: str) -> DataFrame:
-    """``pairs`` with the set of ``side`` as ``{side}_set``. A text of many pairs has several copies of its set."""
+def _with_sets(pairs: DataFrame, sets: DataFrame, counted: DataFrame, side: str, other: str) -> DataFrame:
+    """``pairs`` with the set of ``side`` as ``{side}_set``. A text of many pairs (``counted``: the pairs as a table) has
+    several copies of its set."""
     parts = F.ceil(F.col("n") / SALT).cast("int").alias("parts")
-    hot = written(pairs.groupBy(side).agg(F.count("*").alias("n")).where(F.col("n") > SALT).select(side, parts), "hot-texts")
+    hot = written(counted.groupBy(side).agg(F.count("*").alias("n")).where(F.col("n") > SALT).select(side, parts), "hot-texts")
     many = F.coalesce("parts", F.lit(1))
     dealt = pairs.join(size_checked_broadcast(hot), side, "left").withColumn("part", F.pmod(F.xxhash64(other), many).cast("int")).drop("parts")
     held = sets.select(F.col("id").alias(side), F.col("held").alias(f"{side}_set")).join(size_checked_broadcast(hot), side, "left")
@@ -318,7 +319,7 @@ def _verified(keyed: DataFrame, rows: DataFrame, pairs: DataFrame, total: int) -
                 hit.append(10 * both >= TENTHS * (len(x) + len(y) - both))
             yield b.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
-    both = _with_sets(_with_sets(pairs.select("a", "b"), held, "a", "b"), held, "b", "a")
+    both = _with_sets(_with_sets(pairs.select("a", "b"), held, pairs, "a", "b"), held, pairs, "b", "a")
     return written(both.select("a", "b", "a_set", "b_set").mapInArrow(compare, "a long, b long"), "similar-links")
 
 
