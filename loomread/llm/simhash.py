@@ -289,7 +289,7 @@ def _with_sets(pairs: DataFrame, sets: DataFrame, counted: DataFrame, side: str,
     """``pairs`` with the set of ``side`` as ``{side}_set``. A text of many pairs (``counted``: the pairs as a table) has
     several copies of its set."""
     parts = F.ceil(F.col("n") / SALT).cast("int").alias("parts")
-    hot = written(counted.groupBy(side).agg(F.count("*").alias("n")).where(F.col("n") > SALT).select(side, parts), "hot-texts")
+    hot = counted.groupBy(side).agg(F.count("*").alias("n")).where(F.col("n") > SALT).select(side, parts)
     many = F.coalesce("parts", F.lit(1))
     dealt = pairs.join(size_checked_broadcast(hot), side, "left").withColumn("part", F.pmod(F.xxhash64(other), many).cast("int")).drop("parts")
     held = sets.select(F.col("id").alias(side), F.col("held").alias(f"{side}_set")).join(size_checked_broadcast(hot), side, "left")
