@@ -47,6 +47,8 @@ SIMILAR_WORDS, PRINTS, SIMILAR_APART, TENTHS = 5, 4, 7, 8
 ALL_PAIRS, CROWD = 2048, 1
 #: Rows of one text's set in a join; more are dealt out to copies of it.
 SALT = 5_000
+#: Sets of a block of a crowd, about; a task holds two.
+BLOCK_BYTES = 4 << 20
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -125,29 +127,25 @@ def _forest(ids: np.ndarray, points: np.ndarray, apart: int) -> Iterator[tuple[n
                     break
 
 
-def _links(cells: np.ndarray, ids: np.ndarray, points: np.ndarray, apart: int, small: int, crowd: int | None, roots: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _links(cells: np.ndarray, ids: np.ndarray, points: np.ndarray, apart: int, small: int, crowd: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Links in the cells of sorted rows, and whether each comes from a forest.
 
-    All pairs of a cell of at most ``small`` points, over all such cells at once; with ``crowd``, cells with more than so
-    many links a point, and all larger cells, give forests instead. With ``roots``, pairs of one root don't count.
+    All pairs of a cell of at most ``small`` points, over all such cells at once; cells with more than ``crowd`` links a
+    point, and all larger cells, give forests instead.
     """
     starts = np.flatnonzero(np.concatenate(([True], (cells[1:] != cells[:-1]).any(axis=1))))
     sizes = np.diff(np.concatenate((starts, [len(points)])))
-    whole = sizes <= small if crowd is not None else np.ones(len(sizes), bool)
+    whole = sizes <= small
     cell = np.repeat(np.arange(len(sizes)), sizes)
     few = whole[cell]
     left = np.repeat(starts + sizes, sizes) - np.arange(len(points))  # rows of the cell from here on
     one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for d in range(1, int(sizes[whole].max(initial=0))):
         at = np.flatnonzero(few & (left > d))
-        if roots is not None:
-            at = at[roots[at] != roots[at + d]]
         hit = at[_near(points[at], points[at + d], apart)]
         one.append(hit)
         two.append(hit + d)
     x, y = np.concatenate(one), np.concatenate(two)
-    if crowd is None:
-        return ids[x], ids[y], np.zeros(len(x), bool)
     whole &= np.bincount(cell[x], minlength=len(sizes)) <= crowd * sizes
     keep = whole[cell[x]]
     a, b, forest = [ids[x[keep]]], [ids[y[keep]]], [np.zeros(int(keep.sum()), bool)]
@@ -159,14 +157,14 @@ def _links(cells: np.ndarray, ids: np.ndarray, points: np.ndarray, apart: int, s
     return np.concatenate(a), np.concatenate(b), np.concatenate(forest)
 
 
-def _met(points: DataFrame, n: int, apart: int, split: int, small: int, crowd: int | None) -> DataFrame:
-    """``a, b, forest``: links by ``id`` between points (``t, id, fp`` and perhaps ``root``) of equal ``t`` whose ``fp``
-    differ in at most ``apart`` bits. ``n``: how many points a ``t`` has."""
+def _met(points: DataFrame, n: int, apart: int, split: int, small: int, crowd: int) -> DataFrame:
+    """``a, b, forest``: links by ``id`` between points (``t, id, fp``) of equal ``t`` whose ``fp`` differ in at most
+    ``apart`` bits. ``n``: how many points a ``t`` has."""
     spark = points.sparkSession
     more = next(m for most, m in GROUPS if n <= most)
     chosen = masks(apart, more)
     keys = F.posexplode(F.array(*[F.col("u").bitwiseAND(F.lit(m)) for m in chosen]))
-    own = ["id", "fp"] + ["root"] * ("root" in points.columns)
+    own = ["id", "fp"]
     points = points.withColumn("u", unary(F.col("fp"))).select("t", *own, keys.alias("choice", "cell"))
     points = points.select((F.col("t") * len(chosen) + F.col("choice")).alias("choice"), "cell", *own)
     hot = written(points.groupBy("choice", "cell").agg(F.count("*").alias("n")).where(F.col("n") > split), "hot-cells")
@@ -186,7 +184,7 @@ def _met(points: DataFrame, n: int, apart: int, split: int, small: int, crowd: i
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: np.ndarray) -> pa.RecordBatch:
-            a, b, forest = _links(rows[:, :4], rows[:, 4], rows[:, 5].copy().view(np.uint64), apart, small, crowd, rows[:, 6] if len(own) > 2 else None)
+            a, b, forest = _links(rows[:, :4], rows[:, 4], rows[:, 5].copy().view(np.uint64), apart, small, crowd)
             found = np.unique(np.stack((np.maximum(a, b), np.minimum(a, b), forest), axis=1), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy()), pa.array(found[:, 2] == 1)], ["a", "b", "forest"])
 
@@ -297,8 +295,8 @@ def _with_sets(pairs: DataFrame, sets: DataFrame, counted: DataFrame, side: str,
     return dealt.join(held, [side, "part"]).drop("part")
 
 
-def _verified(keyed: DataFrame, rows: DataFrame, pairs: DataFrame, total: int) -> DataFrame:
-    """The pairs ``a, b`` of ids in ``rows`` whose sets of shingles are similar enough."""
+def _sets(keyed: DataFrame, rows: DataFrame, pairs: DataFrame, total: int) -> DataFrame:
+    """``id, held``: the sets of shingles of the ids in ``pairs``."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     ids = written(rows.select("id", "__lr_f", "__lr_i").join(ids, "id", "left_semi"), "similar-ids")
 
@@ -308,7 +306,11 @@ def _verified(keyed: DataFrame, rows: DataFrame, pairs: DataFrame, total: int) -
 
     some = keyed.select("__lr_f", "__lr_i", F.col("text").cast("string").alias("text"))
     held = only_rows(some, ids, total, (sets, "__lr_f long, __lr_i long, held binary")).join(ids, ["__lr_f", "__lr_i"]).select("id", "held")
-    held = written(held, "similar-sets")
+    return written(held, "similar-sets")
+
+
+def _verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` whose sets of shingles (``held``) are similar enough."""
 
     def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -323,6 +325,75 @@ def _verified(keyed: DataFrame, rows: DataFrame, pairs: DataFrame, total: int) -
     return written(both.select("a", "b", "a_set", "b_set").mapInArrow(compare, "a long, b long"), "similar-links")
 
 
+def _joined(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+    """True links that connect what is connected in a pair of blocks: rows of side, id, root, fingerprints and set.
+
+    Only texts of two roots are compared, of two sides where there are two; a link makes its roots one for what follows.
+    """
+    side, ids = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.int64)
+    root = np.unique(np.array([r[2] for r in rows], np.int64), return_inverse=True)[1]
+    points = np.array([r[3] for r in rows], np.int64).view(np.uint64)
+    sets = [np.frombuffer(r[4], np.uint64) for r in rows]
+    n, two = np.array([len(s) for s in sets]), bool((side != side[0]).any())
+    ends = np.cumsum(n)
+    known, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(len(known), np.int64)
+    for x in range(len(rows) - 1):
+        at = x + 1 + np.flatnonzero((root[x + 1 :] != root[x]) & ((side[x + 1 :] != side[x]) if two else True))
+        at = at[10 * np.minimum(n[at], n[x]) >= TENTHS * np.maximum(n[at], n[x])]
+        at = at[(np.bitwise_count(points[at] ^ points[x]) <= SIMILAR_APART).any(axis=1)]
+        if not len(at):
+            continue
+        mine = codes[ends[x] - n[x] : ends[x]]
+        mark[mine] = 1
+        for y in at.tolist():
+            if root[y] == root[x]:  # by a link of this round
+                continue
+            both = int(mark[codes[ends[y] - n[y] : ends[y]]].sum())
+            if 10 * both >= TENTHS * (int(n[x] + n[y]) - both):
+                root[root == root[y]] = root[x]
+                yield int(ids[x]), int(ids[y])
+        mark[mine] = 0
+
+
+def _across(members: DataFrame, held: DataFrame) -> DataFrame:
+    """``a, b``: links that connect the similar texts of each crowd whose roots differ; ``members`` are ``crowd, id, root,
+    prints``. Pairs are compared where their sets meet, and only links that connect are rows.
+
+    A crowd's texts are dealt into blocks of about ``BLOCK_BYTES`` of sets. Those of its most frequent root have blocks of
+    their own, which meet the others but not each other.
+    """
+    size = F.octet_length("held") + 1024  # bounds their number as well
+    members = written(members.join(held, "id"), "crowded")
+    most = members.groupBy("crowd", "root").agg(F.sum(size).alias("n")).groupBy("crowd").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("roots"))
+    blocks = lambda n: F.ceil(n / BLOCK_BYTES).cast("int")
+    most = most.where("roots > 1").select("crowd", F.col("top.root").alias("top"), blocks(F.col("top.n")).alias("m"), blocks(F.col("n") - F.col("top.n")).alias("o"))
+    dealt = members.join(size_checked_broadcast(written(most, "crowds")), "crowd").withColumn("is_top", F.col("root") == F.col("top"))
+    dealt = dealt.withColumn("block", F.when(F.col("is_top"), F.pmod(F.xxhash64("id"), F.col("m"))).otherwise(F.col("m") + F.pmod(F.xxhash64("id"), F.col("o"))).cast("int"))
+    first = F.when(F.col("is_top"), F.col("m")).otherwise(F.lit(0))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(first, F.col("m") + F.col("o") - 1)))
+    dealt = dealt.select("crowd", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "root", "prints", "held")
+    parts = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            found = list(_joined(rows))
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        own, waiting = None, []
+        for batch in it:
+            for *cell, block, i, root, prints, held in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
+                if cell != own and waiting:
+                    yield out(waiting)
+                    waiting = []
+                own = cell
+                waiting.append((block, i, root, prints, held))
+        if waiting:
+            yield out(waiting)
+
+    return dealt.repartition(parts, "crowd", "i", "j").sortWithinPartitions("crowd", "i", "j").mapInArrow(run, "a long, b long")
+
+
 def similar_groups(keyed: DataFrame) -> DataFrame:
     """``doc_id, __lr_f, __lr_i, root`` of rows that have a row key: rows linked by similar sets share a root."""
     rows = _signatures(keyed)
@@ -330,20 +401,20 @@ def similar_groups(keyed: DataFrame) -> DataFrame:
     points = rows.select(F.posexplode("prints").alias("t", "fp"), "id")
     found = _met(points, n, SIMILAR_APART, SPLIT, ALL_PAIRS, CROWD).groupBy("a", "b").agg(F.max("forest").alias("forest"))
     found = written(found.where("a <> b"), "similar-pairs")
-    true = _verified(keyed, rows, found, n)
+    held = _sets(keyed, rows, found, n)
+    true = _verified(found, held)
     roots = written(components(true), "similar-roots")
-    # a forest's link that isn't true may stand before others that are: all pairs of such crowds, across components
+    # a forest's link that isn't true may stand before others that are: such crowds are compared across components
     failed = found.where("forest").join(true, ["a", "b"], "left_anti")
     if not failed.isEmpty():
         crowds = written(components(found.where("forest").select("a", "b")), "crowds")
         crowds = crowds.unionByName(crowds.select(F.col("root").alias("node"), "root").distinct())
         open_ = crowds.join(failed.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("root").distinct()
-        inside = crowds.join(size_checked_broadcast(open_), "root", "left_semi").select(F.col("node").alias("id"))
-        placed = points.join(written(inside, "crowded"), "id", "left_semi").join(roots, F.col("id") == F.col("node"), "left")
-        placed = placed.select("t", "id", "fp", F.coalesce("root", "id").alias("root"))
-        rest = written(_met(placed, n, SIMILAR_APART, SPLIT, ALL_PAIRS, None).select("a", "b").distinct().join(found, ["a", "b"], "left_anti"), "similar-pairs")
-        if not rest.isEmpty():
-            roots = components(true.unionByName(_verified(keyed, rows, rest, n)))
+        inside = crowds.join(size_checked_broadcast(open_), "root", "left_semi").select(F.col("node").alias("id"), F.col("root").alias("crowd"))
+        placed = rows.select("id", "prints").join(written(inside, "crowded"), "id").join(roots, F.col("id") == F.col("node"), "left")
+        more = written(_across(placed.select("crowd", "id", F.coalesce("root", "id").alias("root"), "prints"), held), "similar-links")
+        if not more.isEmpty():
+            roots = components(true.unionByName(more))
     return rows.join(roots, rows.id == roots.node, "left").select("doc_id", "__lr_f", "__lr_i", F.coalesce("root", "id").alias("root"))
 
 

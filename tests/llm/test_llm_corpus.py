@@ -284,6 +284,26 @@ def test_similar_in_crowds(spark, monkeypatch, crowd):
     assert Counter(r.doc_id for r in simhash.drop_similar(docs_of(spark, rows)).collect()) == kept_by_similarity(rows)
 
 
+def test_similar_in_crowds_makes_few_rows(spark, monkeypatch):
+    """Copies that are near by their fingerprints but mostly not similar: pairs across components don't become rows."""
+    made: dict[str, list[int]] = {}
+    write = simhash.written
+    monkeypatch.setattr(simhash, "written", lambda df, name: (out := write(df, name), made.setdefault(name, []).append(out.count()))[0])
+    monkeypatch.setattr(simhash, "CROWD", 0)
+    monkeypatch.setattr(simhash, "BLOCK_BYTES", 200_000, raising=False)  # several blocks
+    rng = random.Random(15)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    w = [word() for _ in range(100)]
+    rows = []
+    for k in range(300):
+        v = list(w)
+        for at in rng.sample(range(100), 1 if k % 12 == 0 else 2):
+            v[at] = word()
+        rows.append((k, " ".join(v), "s"))
+    assert Counter(r.doc_id for r in simhash.drop_similar(docs_of(spark, rows)).collect()) == kept_by_similarity(rows)
+    assert sum(made["similar-pairs"][1:] + made["similar-links"][1:]) < len(rows), made
+
+
 # ---- suffix dedup
 
 
