@@ -10,28 +10,28 @@ from pyspark.sql import functions as F
 
 from loomread.llm.common import delete_shared, written
 
-
-#: Edges that one task thins to a spanning forest before the rounds.
+#: Edges that one task thins to a spanning forest before the rounds; up to so many in all need no rounds.
 THINNED = 100_000
+_BATCH = 65_536
+
+
+def _find(parent: dict[int, int], x: int) -> int:
+    root = x
+    while (up := parent.setdefault(root, root)) != root:
+        root = up
+    while parent[x] != root:
+        parent[x], x = root, parent[x]
+    return root
 
 
 def _forest(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The edges of a task without those that close a circle, about ``THINNED`` at a time."""
     parent: dict[int, int] = {}
     seen = 0
-
-    def find(x: int) -> int:
-        root = x
-        while (up := parent.setdefault(root, root)) != root:
-            root = up
-        while parent[x] != root:
-            parent[x], x = root, parent[x]
-        return root
-
     for batch in it:
         keep = []
         for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-            p, q = find(a), find(b)
+            p, q = _find(parent, a), _find(parent, b)
             keep.append(p != q)
             parent[max(p, q)] = min(p, q)
         yield batch.filter(pa.array(keep, pa.bool_()))
@@ -40,18 +40,33 @@ def _forest(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parent, seen = {}, 0
 
 
+def _rooted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes and roots of all edges, which are few."""
+    parent: dict[int, int] = {}
+    for batch in it:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            p, q = _find(parent, a), _find(parent, b)
+            parent[max(p, q)] = min(p, q)
+    found = [(x, root) for x in list(parent) if (root := _find(parent, x)) != x]
+    for k in range(0, len(found), _BATCH):
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found[k : k + _BATCH], strict=True)], ["node", "root"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for each node of ``edges`` (two long columns ``a, b``) that isn't its component's least node.
 
-    Edges that close a circle within a task are left out first. Each round is two joins with minima that are combined on the map side; a hub's rows are joined with one row and so
-    can be split. A round's edges go to the shared folder; the number of rounds grows with the logarithm of the nodes.
-    Loops and repeated edges don't matter; without edges the result is empty.
+    Up to ``THINNED`` edges are joined by one task. Of more, those that close a circle within a task are left out, then
+    each round is two joins with minima that are combined on the map side; a hub's rows are joined with one row and so can
+    be split. A round's edges go to the shared folder; the number of rounds grows with the logarithm of the nodes. Loops
+    and repeated edges don't matter; without edges the result is empty.
     """
     now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     now = written(now, "edges")
     parts = -(-now.count() // THINNED)
-    if parts:  # a crowd has many more edges than its spanning forest
-        now = written(now.coalesce(parts).mapInArrow(_forest, "a long, b long"), "edges")
+    if parts <= 1:
+        return written(now.coalesce(1).mapInArrow(_rooted, "node long, root long"), "roots")
+    # a crowd has many more edges than its spanning forest
+    now = written(now.coalesce(parts).mapInArrow(_forest, "a long, b long"), "edges")
     state = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))

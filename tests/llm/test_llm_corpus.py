@@ -221,6 +221,23 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_few_edges_need_no_rounds(spark, monkeypatch):
+    """One task joins few edges; rounds give the same."""
+    rng = random.Random(10)
+    edges = [*((i, i + 1) for i in range(90)), *((rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(110)), (7, 7), (0, 1), (-5, 300)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    made: list[str] = []
+    write = components.written
+    monkeypatch.setattr(components, "written", lambda df, name: (made.append(name), write(df, name))[1])
+    found = lambda: sorted((r.node, r.root) for r in components.components(df).collect())
+    one = found()
+    assert len(made) == 2
+    monkeypatch.setattr(components, "THINNED", 40)
+    assert found() == one and len(made) > 5
+    roots = union(410, [(a + 5, b + 5) for a, b in edges])
+    assert one == sorted((x - 5, root - 5) for x, root in enumerate(roots) if root != x)
+
+
 # ---- near dedup by shingles
 
 
