@@ -135,8 +135,7 @@ def fq_standardize(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def fq_sort(spark: SparkSession, a: argparse.Namespace) -> None:
     paths = check_fastq_paths(a.input)
-    reads = sorting.sort_reads(R.parse(read_fastq(spark, *paths), B.HAPLOTAGGING, paired=len(paths) == 2).drop("barcode", "valid"), a.tag)
-    order = sorting.reads_order(a.tag)
+    reads, order = sorting.reads_keyed(R.parse(read_fastq(spark, *paths), B.HAPLOTAGGING, paired=len(paths) == 2).drop("barcode", "valid"), a.tag)
     for n, forward in ((1, True), (2, False)) if len(paths) == 2 else ((1, None),):
         side = reads if forward is None else reads.where(F.col("forward") == forward)
         name = F.concat(F.col("id"), F.lit("/"), F.when(F.col("forward"), "1").otherwise("2"))
@@ -214,8 +213,8 @@ def sam_sort(spark: SparkSession, a: argparse.Namespace) -> None:
     header = read_header(a.input)
     contigs = {s["SN"]: i for i, s in enumerate(header.get("SQ", []))}
     rank = F.element_at(F.create_map(*[F.lit(x) for p in contigs.items() for x in p]), F.col("rname")) if contigs else F.col("rname")
-    tag, _, *rest = sorting.alignments_order(a.tag)
-    _emit(alns, header | {"HD": [{"VN": "1.6", "SO": "unknown"}]}, a, [tag, rank.asc_nulls_last(), *rest])
+    keyed, (tag, _, *rest) = sorting.alignments_keyed(alns, a.tag)
+    _emit(keyed.withColumn("__rank", rank), header | {"HD": [{"VN": "1.6", "SO": "unknown"}]}, a, [tag, F.col("__rank").asc_nulls_last(), *rest])
 
 
 def sam_standardize(spark: SparkSession, a: argparse.Namespace) -> None:

@@ -17,6 +17,32 @@ def tokens(comment: Column) -> Column:
     return F.filter(F.split(F.coalesce(comment, F.lit("")), r"\s+"), lambda t: t != "")
 
 
+def _joined(text: Column) -> Column:
+    """The words of ``text`` with a tab between each two."""
+    return F.regexp_replace(F.trim(text, F.lit(" \t\n\x0b\f\r")), r"\s+", "\t")
+
+
+def _without(text: Column, start: str) -> Column:
+    """``text`` without the words that begin with the pattern ``start``; blanks stay. By one expression of code that is
+    compiled, which filters of word arrays are not."""
+    return F.regexp_replace(text, rf"(?<!\S)(?:{start})\S*", "")
+
+
+def _unmarked(name: Column, comment: Column) -> Column:
+    """``name`` without the mark of direction at its end; with another direction in the comment the query fails. The name
+    occurs few times here: it may be an expression that each occurrence evaluates again."""
+    mark = F.substring(name, -2, 2)
+    head = F.ltrim(F.coalesce(comment, F.lit("")))
+    other = F.when(name.endswith("/1"), head.startswith("2:")).otherwise(head.startswith("1:"))
+    both = F.raise_error(F.concat(F.lit("a read is marked as forward and as reverse: "), name)).cast("string")
+    return F.when(mark.isin("/1", "/2"), F.when(other, both).otherwise(F.substring(name, F.lit(1), F.length(name) - 2))).otherwise(name)
+
+
+def mate_name(name: Column) -> Column:
+    """A name without ``/1`` or ``/2`` at its end."""
+    return F.when(F.substring(name, -2, 2).isin("/1", "/2"), F.substring(name, F.lit(1), F.length(name) - 2)).otherwise(name)
+
+
 def is_forward(name: Column, comment: Column, file_idx: Column | None = None) -> Column:
     """Whether a read is a forward one. Without a mark it is a reverse one, or by ``file_idx`` where that is given; with
     both marks the query fails."""
@@ -28,11 +54,12 @@ def is_forward(name: Column, comment: Column, file_idx: Column | None = None) ->
 
 
 def _split_id(id_: Column, mark: str, missing: str, chemistry: str) -> tuple[Column, Column, Column]:
-    """Id, barcode and validity where the barcode follows the id's last ``mark``."""
+    """Id, barcode and validity where the barcode follows the id's last ``mark``; ``missing`` isn't valid."""
     none = id_.endswith(mark)
     barcode = F.when(none, F.lit(missing)).otherwise(F.substring_index(id_, mark, -1))
-    rest = F.when(none, F.regexp_replace(id_, f"{mark}+$", "")).otherwise(F.regexp_extract(id_, f"^(.*){mark}[^{mark}]*$", 1))
-    return rest, barcode, ~none & B.is_valid(barcode, chemistry)
+    before = F.substring(id_, F.lit(1), F.length(id_) - F.length(F.substring_index(id_, mark, -1)) - 1)  # none without a mark
+    rest = F.when(none, F.rtrim(id_, F.lit(mark))).otherwise(before)
+    return rest, barcode, B.is_valid(barcode, chemistry)
 
 
 def parse(reads: DataFrame, chemistry: str, length: int | None = None, paired: bool = False) -> DataFrame:
@@ -46,17 +73,17 @@ def parse(reads: DataFrame, chemistry: str, length: int | None = None, paired: b
     if chemistry == B.TENX and not length:
         raise LinkedReadError("the 10x chemistry needs the barcode's length")
     out = reads.withColumn("forward", is_forward(F.col("name"), F.col("comment"), F.col("file_idx") if paired else None))
-    digit = F.when(F.col("forward"), "1").otherwise("2")
-    words = tokens(F.col("comment"))
-    out = out.withColumn("designation", F.coalesce(F.try_element_at(F.filter(words, lambda t: t.startswith(digit)), F.lit(1)), F.concat(digit, F.lit(DESIGNATION_REST))))
-    rest = F.filter(words, lambda t: ~t.startswith(digit))
-    id_ = F.when(F.col("name").endswith(F.concat(F.lit("/"), digit)), F.expr("substring(name, 1, length(name) - 2)")).otherwise(F.col("name"))
+    text = F.coalesce("comment", F.lit(""))
+    by_digit = lambda f: F.when(F.col("forward"), f("1")).otherwise(f("2"))
+    found = by_digit(lambda d: F.regexp_extract(text, rf"(?<!\S){d}\S*", 0))
+    out = out.withColumn("designation", F.when(found != "", found).otherwise(by_digit(lambda d: F.lit(d + DESIGNATION_REST))))
+    id_ = _unmarked(F.col("name"), F.col("comment"))
     if chemistry in (B.HAPLOTAGGING, B.STANDARD):
-        tag = F.try_element_at(F.filter(rest, lambda t: t.startswith("BX:Z")), F.lit(-1))
-        barcode = F.when(tag.isNull(), B.INVALID[B.HAPLOTAGGING]).when(tag.startswith("BX:Z:"), F.substring(tag, 6, 1 << 20)).otherwise(tag)
-        rest = F.filter(rest, lambda t: ~t.startswith("BX:Z"))
-        return out.withColumns({"id": id_, "rest": F.array_join(rest, "\t"), "barcode": barcode}).withColumn("valid", B.is_valid(F.col("barcode"), chemistry))
-    out = out.withColumn("rest", F.array_join(rest, "\t"))
+        tag = F.regexp_extract(text, r"(?s).*(?<!\S)(BX:Z\S*)", 1)  # the last one
+        barcode = F.when(tag == "", B.INVALID[B.HAPLOTAGGING]).when(tag.startswith("BX:Z:"), F.substring(tag, 6, 1 << 20)).otherwise(tag)
+        rest = by_digit(lambda d: _joined(_without(text, f"{d}|BX:Z")))
+        return out.withColumns({"id": id_, "rest": rest, "barcode": barcode}).withColumn("valid", B.is_valid(F.col("barcode"), chemistry))
+    out = out.withColumn("rest", by_digit(lambda d: _joined(_without(text, d))))
     if chemistry == B.TENX:
         own = F.when(F.col("forward"), F.substring("seq", 1, length))
         trim = lambda c: F.when(F.col("forward"), F.substring(c, length + 1, 1 << 30)).otherwise(F.col(c))
@@ -82,9 +109,10 @@ def render(reads: DataFrame, style: str, barcode: Column | None = None) -> DataF
     if style in (B.STLFR, B.TELLSEQ):
         return reads.withColumn("id", F.concat(F.col("id"), F.lit("#" if style == B.STLFR else ":"), code, F.lit(" "), F.col("designation")))
     if style in (B.HAPLOTAGGING, B.STANDARD):
-        words = F.filter(F.split("rest", r"\s+"), lambda t: (t != "") & ~t.startswith("BX") & ~t.startswith("VX"))
-        own = F.array(F.concat(F.lit("VX:i:"), F.col("valid").cast("int").cast("string")), F.concat(F.lit("BX:Z:"), code))
-        return reads.withColumns({"id": F.concat(F.col("id"), F.lit("/"), F.when(F.col("forward"), "1").otherwise("2")), "rest": F.array_join(F.concat(words, own), "\t")})
+        words = _joined(_without(F.col("rest"), "BX|VX"))
+        own = (F.concat(F.lit("VX:i:"), F.col("valid").cast("int").cast("string")), F.concat(F.lit("BX:Z:"), code))
+        tagged = F.when(F.col("rest").isNotNull(), F.ltrim(F.concat_ws("\t", words, *own), F.lit("\t")))
+        return reads.withColumns({"id": F.concat(F.col("id"), F.lit("/"), F.when(F.col("forward"), "1").otherwise("2")), "rest": tagged})
     raise LinkedReadError(f"unknown style: {style}")
 
 

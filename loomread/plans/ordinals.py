@@ -12,21 +12,28 @@ ONE_WINDOW = 200_000
 _LOCAL = (1 << 33) - 1  # the low bits of monotonically_increasing_id count within a partition
 
 
-def with_ordinal(df: DataFrame, order: list[Column | str], name: str = "ordinal", one_window: int = ONE_WINDOW) -> DataFrame:
+def with_ordinal(df: DataFrame, order: list[Column | str], name: str = "ordinal", one_window: int = ONE_WINDOW, keep: list[str] | None = None, stored: bool = False) -> DataFrame:
     """``df`` with each row's place (from 0) in the total ``order``.
 
     The rows are written first, so that they are made once; keep them narrow. Few rows: a window. Many: ranges of the
     order are sorted each on its own and written with their running ids; the sizes of the ranges, one row each, give
     where each begins.
+
+    ``order``: of columns; an expression would be evaluated at each comparison of a sort. ``keep``: the columns of the
+    result (all by default); what only the order needs isn't written. ``stored``: the rows are a projection of a table,
+    as cheap to make again as to read, and aren't written first.
     """
-    df = written(df, "ordinal-rows")
+    kept = df.columns if keep is None else keep
+    df = df if stored else written(df, "ordinal-rows")
     if df.count() <= one_window:
-        return df.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
+        placed = df.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long")).select(*kept, name)
+        return written(placed, "ordinals") if stored else placed
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(*kept).withColumn("__at", F.monotonically_increasing_id())
     ranged = written(ranged, "ordinals").withColumn("__part", F.shiftright("__at", 33))
     sizes = ranged.groupBy("__part").count()  # as many rows as partitions
     begins = sizes.select("__part", F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__begin"))
+    begins = written(begins, "ordinal-begins")
     return ranged.join(F.broadcast(begins), "__part").withColumn(name, F.col("__begin") + F.col("__at").bitwiseAND(F.lit(_LOCAL))).drop("__part", "__at", "__begin")
 
 

@@ -334,3 +334,18 @@ def test_runs(spark):
         want[p], last = run, k
     for width in (10_000, 100, 7):
         assert {r.at: r.run for r in with_runs(df, "k", "at", width=width).collect()} == want
+
+
+def test_sort_by_columns(spark):
+    """A sort evaluates expressions at each comparison: its keys are columns."""
+    reads = spark.createDataFrame([(0, 0, "a/1", "BX:Z:1", "A", "F")], READ)
+    plan = sorting.sort_reads(reads, "BX")._jdf.queryExecution().optimizedPlan().toString()
+    keys = next(x for x in plan.splitlines() if "Sort [" in x)
+    assert "regexp" not in keys and "filter" not in keys
+
+
+def test_ordinal_keeps(spark):
+    df = spark.range(500).select("id", (F.col("id") * 7 % 500).alias("v"))
+    for most in (1000, 100):
+        got = with_ordinal(df, ["v"], "n", most, keep=["id"], stored=True)
+        assert got.columns == ["id", "n"] and all(r.n == r.id * 7 % 500 for r in got.collect())
