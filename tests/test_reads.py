@@ -125,3 +125,18 @@ def test_names_and_tags(spark):
     assert [r[0] for r in rows.select(B.from_name(F.col("n"))).collect()] == ["ACGTN", "1_0_3", "1_2_3", None, None]
     assert [r[0] for r in rows.select(A.name_valid(B.from_name(F.col("n")))).collect()] == [False, False, True, None, None]
     assert spark.range(1).select(A.reverse_complement(F.lit("ACGTN"))).first()[0] == "NACGT"
+
+
+def test_words_of_comments(spark):
+    """Words apart by any blanks; the last tag counts, words of the direction go."""
+    comment = "\t1:x RX:Z:q  BX:Z:A01C01B01D01\n1:y BX:Z:A02C01B01D01\x0bxBX:Z:1 "
+    row = R.render(R.parse(reads(spark, (0, 0, "r/1", comment, "A", "F")), "standard"), "standard").first()
+    assert (row.designation, row.barcode, row.rest) == ("1:x", "A02C01B01D01", "RX:Z:q\txBX:Z:1\tVX:i:1\tBX:Z:A02C01B01D01")
+
+
+@pytest.mark.parametrize("chemistry", ["standard", "stlfr"])
+def test_compiled(spark, chemistry):
+    """Parsing and rendering has no word arrays, whose filters are interpreted row by row."""
+    parsed = R.parse(reads(spark, (0, 0, "r#1_2_3", "1:x", "A", "F")), chemistry)
+    plan = R.render(parsed, "standard")._jdf.queryExecution().analyzed().toString()
+    assert "lambda" not in plan and "split(" not in plan
