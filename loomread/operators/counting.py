@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomread.errors import LinkedReadError, SampleSizeError
 from loomread.functions import alignments as A
 from loomread.functions import barcodes as B
+from loomread.plans.joins import sized
 from loomread.plans.ordinals import with_ordinal
 from loomread.plans.storage import written
 
@@ -85,8 +86,25 @@ def pair_counts(parsed: DataFrame) -> DataFrame:
 
 def split_singleton_reads(parsed: DataFrame, min_count: int = 2, paired: bool = True) -> Split:
     """Valid reads whose barcode is seen ``min_count`` times, and those whose isn't."""
-    counts = pair_counts(parsed) if paired else parsed.where("valid").groupBy("barcode").agg(F.count("*").alias("count"))
-    return _by_count(parsed.where("valid"), "barcode", counts, min_count)
+    if not paired:
+        return _by_count(parsed.where("valid"), "barcode", parsed.where("valid").groupBy("barcode").agg(F.count("*").alias("count")), min_count)
+    return _by_linked(parsed.where("valid"), "barcode", _seen(parsed, min_count))
+
+
+def _seen(parsed: DataFrame, min_count: int) -> DataFrame:
+    """``barcode`` of those with :func:`pair_counts` of ``min_count`` and more.
+
+    A file has one record at a place, so a barcode's pairs are at least its records in one file and at most those of all
+    files. Only barcodes between the two, with few records each, have their pairs counted one by one.
+    """
+    files = parsed.groupBy("barcode", "file_idx").agg(F.count("*").alias("n"))
+    bounds = written(files.groupBy("barcode").agg(F.max("n").alias("least"), F.sum("n").alias("most")), "barcode-bounds")
+    sure = bounds.where(F.col("least") >= min_count).select("barcode")
+    open_ = bounds.where((F.col("least") < min_count) & (F.col("most") >= min_count)).select("barcode")
+    if open_.isEmpty():
+        return sure
+    told = pair_counts(parsed.join(sized(open_), "barcode", "left_semi"))
+    return sure.unionByName(told.where(F.col("count") >= min_count).select("barcode"))
 
 
 def split_singleton_alignments(alns: DataFrame, min_count: int = 3) -> Split:
@@ -98,7 +116,12 @@ def split_singleton_alignments(alns: DataFrame, min_count: int = 3) -> Split:
 
 
 def _by_count(rows: DataFrame, key: str, counts: DataFrame, min_count: int) -> Split:
-    linked = counts.where(F.col("count") >= min_count).select(key)
+    return _by_linked(rows, key, counts.where(F.col("count") >= min_count).select(key))
+
+
+def _by_linked(rows: DataFrame, key: str, linked: DataFrame) -> Split:
+    """By whether the key is one of ``linked``: few of these are broadcast, so that rows stay where they are."""
+    linked = sized(written(linked, "linked"))
     return Split(rows.join(linked, key, "left_semi"), rows.join(linked, key, "left_anti"))
 
 
