@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomread.plans.joins import sized
 from loomread.plans.storage import written
 
 #: Up to so many rows are numbered by one window; more are numbered range by range.
@@ -37,16 +38,28 @@ def with_ordinal(df: DataFrame, order: list[Column | str], name: str = "ordinal"
     return ranged.join(F.broadcast(begins), "__part").withColumn(name, F.col("__begin") + F.col("__at").bitwiseAND(F.lit(_LOCAL))).drop("__part", "__at", "__begin")
 
 
-def with_runs(df: DataFrame, key: str, order: str, name: str = "run", width: int = 1_000_000) -> DataFrame:
+#: So many orders are a stretch.
+WIDTH = 1_000_000
+
+
+def stretch(order: str, width: int = WIDTH) -> Column:
+    return F.floor(F.col(order) / F.lit(width))
+
+
+def with_runs(df: DataFrame, key: str, order: str, name: str = "run", width: int = WIDTH) -> DataFrame:
     """``df`` with the run of equal ``key`` each row stands in: the ``order`` (a whole number) of the run's first row.
 
     Rows are dealt into stretches of ``width`` orders. Within one, a window tells where the key changes; what a stretch
-    needs of those before it, its predecessor's last key and last change, is a table with a row for each stretch.
+    needs of those before it, its predecessor's last key and last change, is a table with a row for each stretch. The result is a
+    projection of a stored table. Rows that
+    have their :func:`stretch` as ``__cut`` and are dealt by it aren't dealt again.
     """
-    cut = df.withColumn("__cut", F.floor(F.col(order) / F.lit(width)))
+    cut = df if "__cut" in df.columns else df.withColumn("__cut", stretch(order, width))
     inside = Window.partitionBy("__cut").orderBy(order)
     cut = cut.withColumn("__before", F.lag(key).over(inside)).withColumn("__first", F.row_number().over(inside) == 1)
     cut = cut.withColumn("__change", F.when(~F.col("__first") & ~F.col("__before").eqNullSafe(F.col(key)), F.col(order)))
+    own = F.max("__change").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    cut = written(cut.withColumn("__own", own).drop("__before", "__first"), "runs")  # dealt and sorted once
     ends = cut.groupBy("__cut").agg(F.min(F.struct(order, key)).alias("f"), F.max(F.struct(order, key)).alias("l"), F.max("__change").alias("c"))
     by = Window.orderBy("__cut")
     ends = ends.withColumn("__new", F.coalesce(~F.lag(F.col(f"l.{key}")).over(by).eqNullSafe(F.col(f"f.{key}")), F.lit(True)) | (F.row_number().over(by) == 1))
@@ -54,5 +67,5 @@ def with_runs(df: DataFrame, key: str, order: str, name: str = "run", width: int
     ends = ends.withColumn("__last", F.coalesce("c", F.when(F.col("__new"), F.col(f"f.{order}"))))
     earlier = F.last("__last", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))
     ends = ends.select("__cut", F.when(F.col("__new"), F.col(f"f.{order}")).otherwise(earlier).alias("__open"))
-    own = F.max("__change").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return cut.withColumn("__own", own).join(ends, "__cut").withColumn(name, F.coalesce("__own", "__open")).drop("__cut", "__before", "__first", "__change", "__own", "__open")
+    ends = sized(written(ends, "run-ends"))
+    return cut.join(ends, "__cut").withColumn(name, F.coalesce("__own", "__open")).drop("__cut", "__change", "__own", "__open")
