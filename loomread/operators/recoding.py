@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomread.errors import CapacityError, LinkedReadError
@@ -22,13 +22,18 @@ class Recoded:
     mapping: DataFrame  # barcode, new_barcode, valid, pos
 
 
-def dictionary(rows: DataFrame, style: str, pos: Column, key: str = "barcode") -> DataFrame:
-    """``barcode, new_barcode, valid, pos``: valid barcodes get the style's barcodes in the order of their first ``pos``,
-    invalid ones its invalid value. Only distinct barcodes are numbered."""
+def dictionary(rows: DataFrame, style: str, pos: tuple[str, ...], key: str = "barcode") -> DataFrame:
+    """``barcode, new_barcode, valid, pos``: valid barcodes get the style's barcodes in the order of their first ``pos``
+    (``rec_idx`` and, before or after it, ``file_idx``), invalid ones its invalid value. Only distinct barcodes are
+    numbered."""
     if style not in B.STYLES:
         raise LinkedReadError(f"unknown style: {style}")
-    # one aggregate: the order of structs is that of their first fields, so the least one has the first row's validity
-    least = rows.groupBy(F.col(key).alias("barcode")).agg(F.min(F.struct(pos.alias("pos"), "valid")).alias("f"))
+    # by hash: the least of a number; an aggregate of structs would sort all rows. The order of structs is that of their
+    # first fields, so the least one of a barcode's few has the first row's validity
+    files = [c for c in pos if c != "rec_idx"]
+    each = rows.groupBy(F.col(key).alias("barcode"), "valid", *files).agg(F.min("rec_idx").alias("rec_idx"))
+    place = F.struct(*pos) if files else F.col("rec_idx")
+    least = each.groupBy("barcode").agg(F.min(F.struct(place.alias("pos"), "valid")).alias("f"))
     first = written(least.select("barcode", "f.pos", "f.valid"), "dictionary")
     numbered = with_ordinal(first.where("valid"), ["pos"], "n").withColumn("new_barcode", B.nth(F.col("n"), style)).drop("n")
     return numbered.unionByName(first.where(~F.col("valid")).withColumn("new_barcode", F.lit(B.INVALID[style]))).select("barcode", "new_barcode", "valid", "pos")
@@ -50,8 +55,12 @@ def check_capacity(mapping: DataFrame, style: str) -> None:
 def pair_10x(parsed: DataFrame, whitelist: DataFrame, length: int) -> DataFrame:
     """Parsed 10x reads whose reverse reads have their mates' barcodes; valid are those on the ``whitelist``
     (``barcode``). A reverse read without a mate has ``N`` for each base."""
+    missing = F.lit("N" * length)
     mates = parsed.where("forward").select("rec_idx", F.col("barcode").alias("mate_barcode"))
-    out = parsed.join(mates, "rec_idx", "left").withColumn("barcode", F.coalesce("barcode", "mate_barcode", F.lit("N" * length))).drop("mate_barcode")
+    # forward reads have their own barcodes and stay where they are
+    first = parsed.where("forward").withColumn("barcode", F.coalesce("barcode", missing))
+    second = parsed.where(~F.col("forward")).join(mates, "rec_idx", "left").withColumn("barcode", F.coalesce("barcode", "mate_barcode", missing)).drop("mate_barcode")
+    out = first.unionByName(second)
     listed = whitelist.select(F.col("barcode"), F.lit(True).alias("listed")).distinct()
     return out.join(sized(listed), "barcode", "left").withColumn("valid", F.coalesce("listed", F.lit(False))).drop("listed")
 
@@ -60,7 +69,7 @@ def convert(parsed: DataFrame, source: str, target: str) -> Recoded:
     """Parsed reads with barcodes and form of another style; a pair's forward read comes first in the dictionary."""
     if source == target:
         raise LinkedReadError(f"the barcodes are {source} already")
-    mapping = dictionary(parsed, target, F.struct("rec_idx", "file_idx"))
+    mapping = dictionary(parsed, target, ("rec_idx", "file_idx"))
     return Recoded(R.render(_with_new(parsed, mapping, target), target, F.col("new_barcode")), mapping)
 
 
@@ -69,7 +78,7 @@ def standardize_reads(parsed: DataFrame, style: str | None = None) -> Recoded:
     dictionary."""
     if style is None:
         return Recoded(R.render(parsed, B.STANDARD), parsed.select("barcode", F.col("barcode").alias("new_barcode"), "valid", F.struct("file_idx", "rec_idx").alias("pos")).limit(0))
-    mapping = dictionary(parsed, style, F.struct("file_idx", "rec_idx"))
+    mapping = dictionary(parsed, style, ("file_idx", "rec_idx"))
     return Recoded(R.render(_with_new(parsed, mapping, style), B.STANDARD, F.col("new_barcode")), mapping)
 
 
@@ -84,7 +93,7 @@ def standardize_alignments(alns: DataFrame, style: str | None = None) -> Recoded
     rows = alns.withColumns({"barcode": F.coalesce(own, from_name), "new_vx": vx, "qname": F.when(moved, short).otherwise(F.col("qname")), "had_both": own.isNotNull() & F.col("vx").isNotNull()})
     rows = rows.withColumn("valid", F.coalesce(F.col("new_vx") == 1, F.lit(False)))
     if style is not None:
-        mapping = dictionary(rows.where(F.col("barcode").isNotNull()), style, F.col("rec_idx"))
+        mapping = dictionary(rows.where(F.col("barcode").isNotNull()), style, ("rec_idx",))
         rows = _with_new(rows, mapping, style).withColumn("new_barcode", F.when(F.col("barcode").isNotNull(), F.col("new_barcode")))
         same = F.lit(False)
     else:

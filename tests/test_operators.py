@@ -349,3 +349,51 @@ def test_ordinal_keeps(spark):
     for most in (1000, 100):
         got = with_ordinal(df, ["v"], "n", most, keep=["id"], stored=True)
         assert got.columns == ["id", "n"] and all(r.n == r.id * 7 % 500 for r in got.collect())
+
+
+@pytest.mark.parametrize("least", [2, 3])
+def test_singletons_without_moving_reads(spark, least):
+    """Barcodes of one record in each file of the same or of different pairs; few kept ones are broadcast."""
+    rows = [(f, i, f"r{i}#{code}", f"{f + 1}:N:0:C", "A", "F") for i, two in enumerate(["1_1_1 1_1_1", "2_1_1 3_1_1", "3_1_1 2_1_1", "4_1_1 5_1_1", "6_1_1 6_1_1", "6_1_1 6_1_1", "6_1_1 7_1_1"]) for f, code in enumerate(two.split())]
+    parsed = R.parse(spark.createDataFrame(rows, READ), "stlfr")
+    want = {r.barcode for r in counting.pair_counts(parsed).collect() if r["count"] >= least}
+    split = counting.split_singleton_reads(parsed, least)
+    assert {r.barcode for r in split.kept.collect()} == want
+    assert {(r.file_idx, r.rec_idx) for r in split.rejected.collect()} == {(f, i) for f, i, n, *_ in rows if n.split("#")[1] not in want}
+    assert "BroadcastHashJoin" in split.rejected._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("m", [1, 3])
+def test_spoof_counts(spark, m):
+    rng = random.Random(m)
+    rows = make_reads(200, m, barcodes=2)
+    parsed = R.parse(spark.createDataFrame(rows, READ), "stlfr")
+    for single, bad in ((False, False), (True, True)):
+        pairs = pairing.spoof_pairs(parsed, m, single, bad)
+        want = {r.barcode: r["count"] for r in pairs.groupBy("barcode").count().collect()}
+        assert {r.barcode: r.pairs for r in pairing.spoof_counts(parsed, m, single, bad).collect()} == want
+        narrow = pairing.spoof_pairs(parsed, m, single, bad, first=("id",), second=())
+        key = lambda r: (r.rec_idx, r.mate_idx, r.k, r.barcode, r.id_1)
+        assert sorted(map(key, narrow.collect())) == sorted(map(key, pairs.collect()))
+        ids = pairing.spoof_pairs(parsed, m, single, bad, first=(), second=("id",))
+        assert sorted((r.rec_idx, r.k, r.id_2) for r in ids.collect()) == sorted((r.rec_idx, r.k, r.id_2) for r in pairs.collect())
+
+
+def test_pair_10x_leaves_forward_reads(spark):
+    """Forward reads aren't shuffled for their own barcodes: with no reverse ones in a plan's part there is no join."""
+    rows = [(0, 0, "a", "1:N:0:X", "AAAACC", "FFFFFF"), (1, 0, "a", "2:N:0:X", "GGGG", "FFFF")]
+    out = recoding.pair_10x(R.parse(spark.createDataFrame(rows, READ), "10x", 4), spark.createDataFrame([("AAAA",)], "barcode string"), 4)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and [(r.file_idx, r.barcode) for r in out.orderBy("file_idx").collect()] == [(0, "AAAA"), (1, "AAAA")]
+
+
+def test_dictionary_by_hash(spark):
+    """No sort of all rows for a barcode's first place; in either order of files and places."""
+    rows = [(0, 5, "a", True), (1, 2, "a", True), (1, 3, "b", True), (0, 4, "b", True), (0, 9, "c", False), (1, 9, "d", True)]
+    df = spark.createDataFrame(rows, "file_idx int, rec_idx long, barcode string, valid boolean")
+    for pos, order in ((("rec_idx", "file_idx"), "abd"), (("file_idx", "rec_idx"), "bad")):
+        out = recoding.dictionary(df, "10x", pos)
+        assert "".join(r.barcode for r in out.where("valid").orderBy("pos").collect()) == order
+        assert [r.new_barcode[-1] for r in out.where("valid").orderBy("pos").collect()] == list("ATC")
+    each = df.groupBy("barcode", "valid", "file_idx").agg(F.min("rec_idx").alias("rec_idx"))
+    assert "SortAggregate" not in each._jdf.queryExecution().executedPlan().toString()
